@@ -6,8 +6,10 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,20 @@ def per_worker(key: Any, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+class Shared:
+    """A value that tasks read: sent once to each executor, unpacked once in each task.
+
+    The caller sees to a bound on its size.
+    """
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @cached_property
+    def value(self) -> Any:
+        return cloudpickle.loads(self._sent.value)
+
+
 def pieces(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` with about ``limit`` characters each, to bound what is held at a time."""
     start, held = 0, 0

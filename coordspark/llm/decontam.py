@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import small, text_of, written
+from coordspark.llm.common import Shared, small, text_of, written
 
 #: Words of benchmark text that a block holds (its vocabulary and seeds go to every task).
 BLOCK_WORDS = 200_000
@@ -171,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_scor
     found = None
     for rows in _blocks(benchmark):
         items = Items.of(rows, words)
-        shared = spark.sparkContext.broadcast(items)  # BLOCK_WORDS bounds it
+        shared = Shared(spark, items)  # BLOCK_WORDS bounds it
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
@@ -188,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_scor
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), text_of().alias("text"))
         passages = written(texts.mapInArrow(look, "doc_id long, version long, item_id long, start long, passage array<long>, seeds array<long>"), "passages")
         counts = {r["seed"]: r["n"] for r in passages.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as the block has seeds
-        rare = spark.sparkContext.broadcast(rare_seeds(items, counts))
+        rare = Shared(spark, rare_seeds(items, counts))
 
         def align(frames: Iterator[pd.DataFrame], shared=shared, rare=rare) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -219,4 +219,4 @@ def rare_seeds(items: Items, counts: dict[int, int]) -> dict[int, frozenset[int]
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their columns. Null and empty texts stay."""
     bad = small(written(contaminated(docs, benchmark, words, min_score).select(F.col("doc_id").alias("bad_doc"), F.col("version").alias("bad_version")).distinct(), "contaminated"), 24)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_doc")) & (F.xxhash64(docs["text"]) == F.col("bad_version")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(docs["text"]) == bad["bad_version"]), "left_anti")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import pieces, text_of
+from coordspark.llm.common import Shared, pieces, text_of
 
 #: The fit sees at most this many documents of a label, of at most this many bytes each.
 FIT_DOCS, FIT_BYTES = 150, 20_000
@@ -58,7 +58,7 @@ class Words:
                         inside[:size] &= ~space[i : i + size]
                 if n == 2:
                     inside[:size] &= ~(space[:size] & space[1:])
-            bucket = (value * np.uint32(2654435761) ^ np.uint32(n * 0x9E3779B1)) >> np.uint32(15)
+            bucket = (value * np.uint32(2654435761) ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) >> np.uint32(15)
             grams.append(np.where(inside, bucket & np.uint32(BUCKETS - 1), BUCKETS).astype(np.int64))
         return cls(plain, starts, grams, np.array([len(w) > 0 for w in plain]))
 
@@ -247,7 +247,7 @@ def fit_on(docs: DataFrame, seed: int = 0) -> Model:
 
 def labelled(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A struct (lang_pred, score) for a text column of ``docs``; null is as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS and FIT_DOCS bound it
+    shared = Shared(docs.sparkSession, model)  # BUCKETS and FIT_DOCS bound it
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:

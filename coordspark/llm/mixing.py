@@ -115,8 +115,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
 
     Adds mix_block, mix_rank, mix_weight, mix_alpha and mix_copies (0: not in the mix; n: read n times).
     Null, empty and wordless texts have no tokens and go with their block. Rows that repeat share a block and
-    are each returned. An empty table gives none. Other columns are kept.
+    are each returned. An empty table gives none. Other columns are kept, but those named like added ones.
     """
+    docs = docs.drop("mix_key", "mix_block", "mix_rank", "mix_weight", "mix_alpha", "mix_copies")
     plan, a = schedule(docs, target_entropy, max_repeats, budget, seed, blocks)
     plan = small(written(plan.select(F.col("key").alias("mix_key"), F.col("block").alias("mix_block"), F.col("block_rank").alias("mix_rank"), F.col("weight").alias("mix_weight"), F.col("copies").alias("mix_copies")), "plan"), 100)
     keyed = docs.withColumn("mix_key", source_key()).withColumn("mix_block", block_of(F.col("doc_id"), blocks))
@@ -125,5 +126,6 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
 
 def mixture(docs: DataFrame, max_repeats: float, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` as often as their copies say, none less than once, with the columns of ``docs``."""
-    mixed = mix(docs, max_repeats=max_repeats, seed=seed)
-    return mixed.withColumn("mix_copy", F.explode(F.expr("sequence(1, greatest(1, mix_copies))"))).select(*[mixed[c] for c in docs.columns])
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text", "source")
+    mixed = mix(whole, max_repeats=max_repeats, seed=seed)
+    return mixed.select("row", F.explode(F.expr("sequence(1, greatest(1, mix_copies))"))).select("row.*")

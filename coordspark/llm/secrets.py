@@ -95,6 +95,10 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     return seen.where((F.col("part") != "endpoint") | (F.col("n") == 2)).select("row", "span")
 
 
+def _tagged(kind: Kind, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(kind.part).alias("part"), F.lit(kind.strong).alias("strong"), s.alias("span")))
+
+
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, base, spans)``, a row for each input row.
 
@@ -106,7 +110,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     n_of = {p: sum((F.size(f"k{i}") for i, k in enumerate(KINDS) if k.part == p), F.lit(0)) for p in ("secret", "ident")}
     n_weak = sum((F.size(f"k{i}") for i, k in enumerate(KINDS) if not k.strong), F.lit(0))
     may = (n_weak > 0) & (n_of["secret"] > 0) & (n_of["ident"] > 0)
-    tagged = F.concat(*[F.transform(f"k{i}", lambda s, k=k: F.struct(F.lit(k.part).alias("part"), F.lit(k.strong).alias("strong"), s.alias("span"))) for i, k in enumerate(KINDS)])
+    tagged = F.concat(*[_tagged(k, F.col(f"k{i}")) for i, k in enumerate(KINDS)])
     parts = hits.where(may).select("row", F.explode(tagged).alias("p")).select("row", "p.*")
     weak = written(linked(parts, scope).groupBy("row").agg(F.collect_set("span").alias("weak")), "linked")
     base = F.concat(*[F.col(f"k{i}") for i, k in enumerate(KINDS) if k.strong])
@@ -115,5 +119,6 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def digest(scanned: DataFrame) -> DataFrame:
     """Of ``scan``: counts of strong spans, their SHA-256 and all spans as text."""
-    n = {k.name: F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(KINDS) if k.strong}
-    return scanned.select("doc_id", *n.values(), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k.name}") for i, k in enumerate(KINDS) if k.strong]
+    return scanned.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import text_of, written
+from coordspark.llm.common import small, text_of, written
 from coordspark.llm.components import connected
 
 SEED = 42
@@ -129,3 +129,90 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket:
 
 def print_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# De-duplication to a similarity. At a Jaccard similarity of 0.8 whole-text fingerprints differ in some ten
+# bits, out of reach of any segment index, so texts also get fingerprints of small consistent samples: the
+# VIEW_FEATURES smallest shingle hashes, dealt into VIEWS views. Most views of similar texts hold the same
+# shingles and so the same fingerprint; candidates from any view are held to the similarity itself.
+VIEWS, VIEW_FEATURES, SKETCH = 16, 64, 256
+
+
+def sketched(text: str | Column, words: int, views: int = VIEWS) -> Column:
+    """A struct (fp, views, sketch): the whole text's fingerprint, each view's (null if it is empty), and the
+    ``SKETCH`` smallest distinct shingle hashes' leading 32 bits, ascending."""
+
+    @F.pandas_udf("fp long, views array<long>, sketch binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            hashes = shingle_hashes(t, words)
+            least = np.unique(hashes)
+            sample = least[:VIEW_FEATURES]
+            view = (sample * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(views)
+            of_view = [signed(majority(part)) if len(part := sample[view == v]) else None for v in range(views)]
+            rows.append((signed(majority(hashes)), of_view, (least[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["fp", "views", "sketch"])
+
+    return of(text_of(text))
+
+
+def _jaccard(a: bytes, b: bytes) -> float:
+    """Of two sketches: exact if both are whole, else estimated from the smallest of their union."""
+    x, y = np.unique(np.frombuffer(a, "<u4")), np.unique(np.frombuffer(b, "<u4"))
+    union = np.union1d(x, y)
+    if max(len(a), len(b)) >= 4 * SKETCH:
+        union = union[:SKETCH]
+    if not len(union):
+        return 1.0
+    return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)) / len(union)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """``docs(doc_id, text)`` to a written table ``(doc_id, version, group)``, a row for each input row.
+
+    Rows of a group reach each other over links of texts whose ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more (from sketches: exact up to 256 shingles, a standard error of at most
+    0.03 beyond). version hashes the text; null counts as empty, and empty texts are equal.
+    """
+    rows = written(docs.select("doc_id", F.xxhash64(text_of()).alias("version"), sketched("text", words).alias("s")).select("doc_id", "version", "s.*"), "sketches")
+    texts = rows.select("version", "fp", "views").distinct()
+
+    of_view = texts.select("version", F.posexplode("views").alias("view", "vp")).where("vp is not null")
+    ends = of_view.groupBy("view", "vp").agg(F.min("version").alias("low"), F.max("version").alias("high")).where("low < high")
+    met = of_view.join(ends, ["view", "vp"]).select("version", F.explode(F.array("low", "high")).alias("other"))
+    same = texts.groupBy("fp").agg(F.min("version").alias("first"), F.max("version").alias("last"))
+    alike = texts.join(same.where("first < last"), "fp").select("version", F.col("first").alias("other"))
+    heads = same.select("fp", "first")
+    near = links(texts.select("fp").distinct(), max_bits).join(heads.select(F.col("fp").alias("u"), F.col("first").alias("version")), "u").join(heads.select(F.col("fp").alias("v"), F.col("first").alias("other")), "v").select("version", "other")
+    pairs = met.unionAll(alike).unionAll(near).where("version <> other").select(F.least("version", "other").alias("u"), F.greatest("version", "other").alias("v")).distinct()
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    sketch = rows.groupBy("version").agg(F.first("sketch").alias("sketch"))
+    held = pairs.join(sketch.select(F.col("version").alias("u"), F.col("sketch").alias("a")), "u").join(sketch.select(F.col("version").alias("v"), F.col("sketch").alias("b")), "v")
+    roots = written(connected(held.where(jaccard("a", "b") >= similarity).select("u", "v")), "groups").withColumnRenamed("node", "version")
+    return written(rows.select("doc_id", "version").join(roots, "version", "left").select("doc_id", "version", F.coalesce("root", "version").alias("group")), "grouped")
+
+
+def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: of each group the one with the smallest doc_id.
+
+    A null doc_id comes last; of rows that repeat doc_id and text one stays.
+    """
+    grouped = similar_groups(docs, words, similarity, max_bits)
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "version")).alias("first")
+    first = grouped.groupBy("group").agg(rank).select("group", F.col("first.doc_id").alias("keep_doc"), F.col("first.version").alias("keep_version"))
+    counted = grouped.groupBy("group", "doc_id", "version").agg(F.count(F.lit(1)).alias("n")).join(first, "group")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("version") == F.col("keep_version"))
+    marked = written(counted.select(F.col("doc_id").alias("gone_doc"), F.col("version").alias("gone_version"), stays.alias("stays"), "n").where("not stays or n > 1"), "gone")
+    gone = marked.select("gone_doc", "gone_version")
+    own = docs["doc_id"].eqNullSafe(gone["gone_doc"]) & (F.xxhash64(text_of(docs["text"])) == gone["gone_version"])
+    kept = docs.join(small(gone, 24), own, "left_anti")
+    repeated = marked.where("stays").select("gone_doc", "gone_version")
+    if repeated.isEmpty():
+        return kept
+    again = docs["doc_id"].eqNullSafe(repeated["gone_doc"]) & (F.xxhash64(text_of(docs["text"])) == repeated["gone_version"])
+    return kept.unionByName(docs.join(small(repeated, 24), again, "left_semi").dropDuplicates(["doc_id", "text"]))

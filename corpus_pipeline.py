@@ -4,16 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coordspark.llm.common import new_path
+from coordspark.llm import decontam, langid, mixing, planes, simhash
+from coordspark.llm.common import new_path, table
+from coordspark.llm.queries import END_ID, tokenizer_path
 
-STAGES = []
+#: A document goes if its language is undetermined or no language reaches this mean probability.
+MIN_LANGUAGE_SCORE = 0.4
+#: Near copies: five-word shingles with a Jaccard similarity of this or more.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: The rarest source may be read this often for each time that the most frequent one is; none goes unread.
+MAX_REPEATS = 1.25
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is determined."""
+    return langid.identified(docs, MIN_LANGUAGE_SCORE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of exact or near copies."""
+    return simhash.dedup(docs, SHINGLE_WORDS, SIMILARITY)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that hold no item of the benchmark."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; those of rarer sources again, as their weights ask."""
+    return mixing.mixture(docs, MAX_REPEATS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the mixture as bit-plane shuffled token ids and lists its documents from the files."""
+    return planes.read_tokens(spark, planes.write_tokens(docs, tokenizer_path(), END_ID))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_ids", token_ids),
+]
 
 #: No SQL: the first stage is a trained model and the last writes a binary format.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; gives what the last one returns."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
