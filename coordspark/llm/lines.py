@@ -36,6 +36,10 @@ def chunks(text: str | Column = "text", divisor: int = 3) -> Column:
     return F.split(F.regexp_replace(joined, "(?:\\x01\\x03|\\n)\\z", ""), BORDER)
 
 
+def _bytes(chunk: Column) -> Column:
+    return F.octet_length(F.replace(chunk, F.lit(ESCAPED), F.lit(ESCAPE)))
+
+
 def _many_lines(chunk: Column) -> Column:
     return F.contains(chunk, F.lit("\n"))
 
@@ -47,12 +51,12 @@ def repeated_chunks(docs: DataFrame, divisor: int = 3) -> tuple[DataFrame, DataF
     version is a hash of the text, so that rows which repeat a doc_id with another text stay apart.
     """
     exploded = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(chunks("text", divisor)).alias("no", "chunk")).where(_many_lines(F.col("chunk")))
-    listed = written(exploded.select("doc_id", "version", "no", F.xxhash64("chunk").alias("hash"), F.octet_length("chunk").alias("len")), "chunks")
+    listed = written(exploded.select("doc_id", "version", "no", F.xxhash64("chunk").alias("hash"), _bytes(F.col("chunk")).alias("len")), "chunks")
     suspects = written(listed.groupBy("hash", "len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "len"), "suspects")
-    again = exploded.withColumns({"hash": F.xxhash64("chunk"), "len": F.octet_length("chunk")}).join(small(suspects, 24), ["hash", "len"], "left_semi")
+    again = exploded.withColumns({"hash": F.xxhash64("chunk"), "len": _bytes(F.col("chunk"))}).join(small(suspects, 24), ["hash", "len"], "left_semi")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "version", "no")).alias("first")
     by_bytes = again.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), first)
-    of_hash = by_bytes.select(F.xxhash64("chunk").alias("hash"), F.octet_length("chunk").alias("len"), "n", "first")
+    of_hash = by_bytes.select(F.xxhash64("chunk").alias("hash"), _bytes(F.col("chunk")).alias("len"), "n", "first")
     proven = of_hash.groupBy("hash", "len").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.min("first").alias("first")).where("texts = 1 and n > 1")
     return listed, written(proven.select("hash", "len", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.version").alias("first_version"), F.col("first.no").alias("first_no")), "proven")
 

@@ -106,7 +106,7 @@ def schedule(docs: DataFrame, target_entropy: float | None = None, max_repeats:
     joined = ranked.join(weighted, "key", "left")
     epochs = F.expr("source_budget div source_tokens")
     rest = F.expr("source_budget % source_tokens")
-    copies = F.when(F.col("source_tokens").isNull(), F.lit(1)).otherwise(epochs + (2 * F.col("upto") - F.col("block_tokens") <= 2 * rest).cast("long"))
+    copies = F.when(F.col("source_tokens").isNull(), F.lit(1)).otherwise(epochs + ((F.col("block_tokens") > 0) & (2 * F.col("upto") - F.col("block_tokens") <= 2 * rest)).cast("long"))
     return joined.select("key", "block", "block_tokens", F.col("block_rank").cast("long").alias("block_rank"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"), F.coalesce("source_budget", F.lit(0)).alias("source_budget"), copies.cast("long").alias("copies")), a
 
 

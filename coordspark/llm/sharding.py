@@ -35,15 +35,19 @@ class SlotMap:
         return cls(shards, 1, {(s, p): s * shards // slots if p < 0 else p % shards for s, p in units})
 
     def rebalanced(self, weight: dict[Unit, int], shards: int | None = None) -> SlotMap:
-        """The next version: slots move from the heaviest to the lightest shard while that evens them out."""
+        """The next version: slots move from the heaviest to the lightest shard while that evens them out.
+
+        With more ``shards`` than before, slots move to the new ones only.
+        """
         shards = shards or self.shards
+        takers = range(self.shards if shards > self.shards else 0, shards)
         held: list[list[tuple[int, Unit]]] = [[] for _ in range(shards)]
         for unit, shard in self.shard_of.items():
             insort(held[shard], (weight.get(unit, 0), unit))
         loads = [sum(w for w, _ in h) for h in held]
         shard_of, edits = dict(self.shard_of), list(self.edits)
         while True:
-            heavy, light = max(range(shards), key=loads.__getitem__), min(range(shards), key=loads.__getitem__)
+            heavy, light = max(range(shards), key=loads.__getitem__), min(takers, key=loads.__getitem__)
             gap, own = loads[heavy] - loads[light], held[heavy]
             at = bisect_left(own, (gap // 2, (-1, -1)))
             near = [own[i] for i in (at - 1, at) if 0 <= i < len(own) and 0 < own[i][0] < gap]

@@ -86,7 +86,7 @@ def links(prints: DataFrame, max_bits: int = 2, bucket: int = 64) -> DataFrame:
         raise ValueError("max_bits must be 0, 1 or 2")
     ring = _segments(max_bits)
     m = len(ring)
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("seg")) for i, (s, w) in enumerate(ring)])).alias("k")).select("fp", "k.i", "k.seg")
+    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(signed((1 << w) - 1))).alias("seg")) for i, (s, w) in enumerate(ring)])).alias("k")).select("fp", "k.i", "k.seg")
     sizes = keyed.groupBy("i", "seg").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(keyed.join(sizes, ["i", "seg"]), "ring")
 
