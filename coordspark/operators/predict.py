@@ -8,7 +8,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.frame import VALUE, LabeledFrame
@@ -175,9 +175,8 @@ class BoostedTrees(SparkPredictor):
 
     def _marked(self, rows: DataFrame) -> DataFrame:
         """Rows with ``held``: true for the validation part."""
-        strata = ["label"] if self.is_classifier else []
-        w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-        return ranked(rows, self.sample_dim, strata, self.validation_seed).withColumn("held", F.col("rank") <= F.round(F.count(F.lit(1)).over(w) * self.validation_size))
+        marked = ranked(rows, self.sample_dim, ["label"] if self.is_classifier else [], self.validation_seed)
+        return marked.withColumn("held", F.col("rank") <= F.round(F.col("total") * self.validation_size))
 
     def _learn(self, frame: LabeledFrame) -> None:
         rows, params = self._rows(frame), dict(self.params)

@@ -30,18 +30,16 @@ def stratified_folds(samples: DataFrame, sample: str, stratum: str | None, k: in
     strata = [stratum] if stratum else []
     rows = ranked(samples, sample, strata, seed)
     if not strata:
-        return rows.withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank")
+        return rows.withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank", "total")
     sizes = samples.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))  # a row per stratum, 100 at most
     starts = sizes.select(stratum, (F.sum("_n").over(Window.orderBy(stratum)) - F.col("_n")).alias("_off"))
-    return rows.join(F.broadcast(starts), stratum).withColumn("fold", ((F.col("rank") - 1 + F.col("_off")) % k).cast("int")).drop("rank", "_off")
+    return rows.join(F.broadcast(starts), stratum).withColumn("fold", ((F.col("rank") - 1 + F.col("_off")) % k).cast("int")).drop("rank", "total", "_off")
 
 
 def holdout(samples: DataFrame, sample: str, stratum: str | None, test_size: float, seed: int) -> DataFrame:
     """``samples`` with ``held``: the first ``round(n * test_size)`` of each stratum."""
-    strata = [stratum] if stratum else []
-    w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(w)
-    return ranked(samples, sample, strata, seed).withColumn("_n", n).withColumn("held", F.col("rank") <= F.round(F.col("_n") * test_size)).drop("rank", "_n")
+    rows = ranked(samples, sample, [stratum] if stratum else [], seed)
+    return rows.withColumn("held", F.col("rank") <= F.round(F.col("total") * test_size)).drop("rank", "total")
 
 
 class Validator:
