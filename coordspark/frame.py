@@ -94,7 +94,7 @@ class LabeledFrame:
         return [spec]
 
     def labels(self, name: str) -> DataFrame:
-        """``(name, pos)``: the distinct labels of a dimension or coordinate in ascending order."""
+        """``(name, pos)``: the distinct labels of a dimension or coordinate of a bounded size, in ascending order."""
         self.dim_of(name)
         distinct = self.cells.select(name).where(F.col(name).isNotNull()).distinct()
         return distinct.select(name, (F.row_number().over(Window.orderBy(name)) - 1).alias("pos"))

@@ -58,7 +58,8 @@ def multilabel(predictions: DataFrame, truth: Sequence[str], predicted: Sequence
 def average_precision(scored: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """``(by, ap)``: precision at each distinct score, weighted by the recall it adds; equal scores go together.
 
-    Scores are counted first, so the window runs over distinct scores, not over samples.
+    Scores are counted first, so the window runs over distinct scores, not over samples; round scores that
+    are nearly all distinct, or give ``by``, where they are too many for one task.
     """
     tied = scored.groupBy(*by, score).agg(F.sum(F.col(truth).cast("long")).alias("_tp"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -67,13 +68,39 @@ def average_precision(scored: DataFrame, truth: str, score: str, by: Sequence[st
     return curve.groupBy(*by).agg(F.sum(F.col("_above") / F.col("_seen") * F.try_divide("_tp", "_all")).alias("ap"))
 
 
+def multilabel_average_precision(scored: DataFrame, sample: str, truth: Sequence[str], score: Sequence[str]) -> DataFrame:
+    """``(ap_macro, ap_micro, ap_samples)``: the mean over labels, of all pairs pooled, the mean over samples.
+
+    Labels or samples without a positive count 0.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("label"), F.col(t).cast("int").alias("y"), F.col(s).cast("double").alias("s")) for i, (t, s) in enumerate(zip(truth, score, strict=True))])).alias("p")
+    each = scored.select(F.col(sample).alias("_sample"), pairs).select("_sample", "p.*")
+    mean = lambda by: average_precision(each, "y", "s", [by]).agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("m"))
+    return mean("label").select(F.col("m").alias("ap_macro")).join(average_precision(each, "y", "s").select(F.col("ap").alias("ap_micro"))).join(mean("_sample").select(F.col("m").alias("ap_samples")))
+
+
+def combined_confusion(counts: DataFrame, by: str) -> DataFrame:
+    """``(truth, prediction, mean, sem)`` of row-normalised matrices over ``by`` (folds, seeds); absent cells are 0."""
+    shares = normalised(counts, [by])
+    n = F.lit(counts.select(by).distinct().count())
+    mean = F.sum("share") / n
+    return shares.groupBy("truth", "prediction").agg(mean.alias("mean"), (F.sqrt(F.greatest(F.sum(F.col("share") ** 2) / n - mean**2, F.lit(0.0))) / F.sqrt(n)).alias("sem"))
+
+
 #: Name of a score to the table that holds it and its column there.
 _CLASSIFICATION = {"f1": "f1_weighted", "f1_weighted": "f1_weighted", "f1_macro": "f1_macro", "f1_micro": "f1_micro", "accuracy": "accuracy"}
 _REGRESSION = {"r2": "r2", "r2_score": "r2", "mse": "neg_mse", "neg_mean_squared_error": "neg_mse", "rmse": "neg_rmse", "neg_root_mean_squared_error": "neg_rmse", "mae": "neg_mae", "neg_mean_absolute_error": "neg_mae"}
 
 
+_MULTILABEL = {"f1_samples": "f1_samples", "hamming_loss": "neg_hamming", "subset_accuracy": "subset_accuracy"}
+
+
 def score_table(name: str, predictions: DataFrame, truth: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(by, score)``."""
+    """``(by, score)``. Several targets are read from ``prediction__<target>``."""
+    if not isinstance(truth, str) and name in {*_MULTILABEL, "f1_macro", "f1_micro"}:
+        if by:
+            raise ValueError("multilabel scores have no groups; filter first")
+        return multilabel(predictions, truth, [f"prediction__{t}" for t in truth]).select(F.col(_MULTILABEL.get(name, name)).alias("score"))
     if name in _CLASSIFICATION:
         return classification(predictions, truth, by).select(*by, F.col(_CLASSIFICATION[name]).alias("score"))
     if name in _REGRESSION:

@@ -263,11 +263,15 @@ class GroupApply(Transform):
 
     Unseen groups: an error, or the average of all fitted clones' outputs, equal or by the groups' numbers of
     samples. Stateless templates need no fit. Where a template only adds keys to a window (``per_dim``), it is
-    cheaper to name the coordinate there.
+    cheaper to name the coordinate there. Groups whose outputs differ in size along a dimension are an error, or
+    cut to the first labels that all have (``cut_to_min``; the size is kept from the first output on).
     """
 
-    def __init__(self, group_coord: str | Sequence[str], template: Transform, unseen_policy: str = "error", sample_dim: str = "trial", **kw: Any):
+    def __init__(self, group_coord: str | Sequence[str], template: Transform, unseen_policy: str = "error", unequal_output_dims: str | None = None, sample_dim: str = "trial", **kw: Any):
         super().__init__(**kw)
+        if unequal_output_dims not in (None, "error", "cut_to_min"):
+            raise ValueError(f"unknown strategy {unequal_output_dims!r}")
+        self.unequal_output_dims, self.min_sizes = unequal_output_dims, {}
         if unseen_policy not in ("error", "average", "weighted_average"):
             raise ValueError(f"unknown policy {unseen_policy!r}")
         self.group_coord, self.template, self.unseen_policy, self.sample_dim = group_coord, template, unseen_policy, sample_dim
@@ -316,7 +320,23 @@ class GroupApply(Transform):
             first = made[0][0]
             weighted = reduce(DataFrame.unionByName, [m.with_value(F.col(VALUE) * w).cells for m, w in made])
             outs.append(first.with_cells(weighted.groupBy(*first.dims, *first.coords).agg(F.sum(VALUE).alias(VALUE))))
-        return outs[0].with_cells(reduce(DataFrame.unionByName, [o.cells for o in outs])) if outs else frame
+        if not outs:
+            return frame
+        if self.unequal_output_dims:
+            outs = self._evened(outs)
+        return outs[0].with_cells(reduce(DataFrame.unionByName, [o.cells for o in outs]))
+
+    def _evened(self, outs: list[LabeledFrame]) -> list[LabeledFrame]:
+        for dim in outs[0].dims:
+            if dim == self.sample_dim:
+                continue
+            labels = [o.label_list(dim) for o in outs]  # of a dimension other than the samples
+            least = min(self.min_sizes.get(dim, len(labels[0])), *map(len, labels))
+            if self.unequal_output_dims == "error" and len({len(x) for x in labels}) > 1:
+                raise TransformError(f"groups give {[len(x) for x in labels]} labels of {dim}")
+            self.min_sizes[dim] = least
+            outs = [o if len(x) == least else o.where(F.col(dim).isin(x[:least])) for o, x in zip(outs, labels, strict=True)]
+        return outs
 
     def predict(self, frame: LabeledFrame) -> DataFrame:
         return reduce(DataFrame.unionByName, [self._for(g)[0][0].predict(self._of(frame, g)) for g in self._groups(frame)])

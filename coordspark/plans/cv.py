@@ -284,8 +284,9 @@ class CrossValidator:
             parts.append(fitted.predict(ready.where(v.validation(fold))))
         shared = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
         out = v.scored(reduce(DataFrame.unionByName, [p.select(*shared) for p in parts]).persist(StorageLevel.MEMORY_AND_DISK))
-        name = self.scoring or ("f1_weighted" if predictor.is_classifier else "r2")
-        if callable(name):
+        name = self.scoring or (("f1_weighted" if isinstance(truth, str) else "f1_samples") if predictor.is_classifier else "r2")
+        if callable(name) or not isinstance(truth, str) and predictor.is_classifier:
+            name = scores.scorer(name)
             by_fold = {f: float(name(out.where(F.col("fold") == f), truth)) for f in v.fold_list(folds)}
         else:
             by_fold = {r["fold"]: float(r["score"]) for r in scores.score_table(name, out, truth, ["fold"]).collect()}
@@ -322,6 +323,15 @@ class CrossValidator:
         self.result.holdout_predictions, self.result.holdout_score = out, scores.scorer(self.result.scoring)(out, self.result.truth)
         return self.result.holdout_score
 
+    def holdout_frame(self, frame: LabeledFrame) -> LabeledFrame:
+        """The holdout's samples of ``frame``, as they are before any step."""
+        held = self.validator.folds(frame).where(F.col("fold") == HOLDOUT).select(self.validator.sample_dim)
+        return frame.with_cells(frame.cells.join(held, self.validator.sample_dim, "left_semi"))
+
+    def holdout_confusion(self) -> DataFrame:
+        """Of the holdout's scored predictions."""
+        return scores.normalised(scores.confusion(self.result.holdout_predictions, self.result.truth))
+
     def finalize(self, pipeline: Pipeline, frame: LabeledFrame) -> Pipeline:
         """A clone, fitted on everything, ready for inference."""
         final = pipeline.clone()
@@ -330,6 +340,15 @@ class CrossValidator:
         return final.fit(frame).prepare_for_inference()
 
 
+def fold_rows(validator: Validator, frame: LabeledFrame, label: str) -> DataFrame:
+    """Dense rows with ``features`` (a vector), ``label`` and ``fold``, for the ``foldCol`` of ``pyspark.ml.tuning``."""
+    from pyspark.ml.functions import array_to_vector
+
+    d = validator.sample_dim
+    rows = frame.dense(d).join(validator.folds(frame), d).where(F.col("fold") >= 0)
+    return rows.select(d, array_to_vector("features").alias("features"), F.col(label).cast("double").alias("label"), F.col("fold").cast("int").alias("fold"))
+
+
 # One-scan statistics: sums are additive, so a fold's training statistic is the total less the fold's own.
 
 def centroid_sums(frame: LabeledFrame, target: str, by: str = "fold") -> DataFrame:

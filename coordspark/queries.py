@@ -437,6 +437,34 @@ def average_precision(spark, d):
     return scoring.average_precision(rows, "truth", "score", ["g"]).select("g", F.round("ap", 6).alias("ap"))
 
 
+_LABELS = "m as (select c_custkey as k, (c_acctbal > 0)::int as y0, (c_nationkey % 3 = 0)::int as y1, c_acctbal::double as s0, (c_custkey % 50)::double * 200 as s1 from customer), l as (select k, 0 as label, y0 as y, s0 as s from m union all select k, 1, y1, s1 from m)"
+
+
+def _ap_sql(by: str) -> str:
+    keys = f"{by}," if by else ""
+    part = f"partition by {by}" if by else ""
+    return f"(select {by or '0'} as g, coalesce(sum(above::double / seen * tp / nullif(total, 0)), 0) as ap from (select {keys} tp, sum(tp) over ({part} order by s desc rows unbounded preceding) as above, sum(n) over ({part} order by s desc rows unbounded preceding) as seen, sum(tp) over ({part}) as total from (select {keys} s, sum(y) as tp, count(*) as n from l group by all)) group by 1)"
+
+
+@query(f"with {_LABELS} select round((select avg(ap) from {_ap_sql('label')}), 6) as ap_macro, round((select ap from {_ap_sql('')}), 6) as ap_micro, round((select avg(ap) from {_ap_sql('k')}), 6) as ap_samples")
+def multilabel_average_precision(spark, d):
+    c = tables.read_table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("y0"), (F.col("c_nationkey") % 3 == 0).alias("y1"), F.col("c_acctbal").alias("s0"), ((F.col("c_custkey") % 50) * 200.0).alias("s1"))
+    out = scoring.multilabel_average_precision(c, "c_custkey", ["y0", "y1"], ["s0", "s1"])
+    return out.select(*[F.round(x, 6).alias(x) for x in out.columns])
+
+
+@query(f"with {OOF}, c as (select fold, truth, prediction, count(*) as n from oof group by 1, 2, 3), sh as (select truth, prediction, n / sum(n) over (partition by fold, truth)::double as share from c) select truth, prediction, round(sum(share) / 5, 6) as mean, round(sqrt(greatest(sum(share * share) / 5 - (sum(share) / 5) ** 2, 0)) / sqrt(5::double), 6) as sem from sh group by 1, 2")
+def confusion_over_folds(spark, d):
+    out = scoring.combined_confusion(scoring.confusion(centroid_oof_frame(spark, d), "label", ["fold"]), "fold")
+    return out.select("truth", "prediction", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"))
+
+
+@query(f"with {E3}, x as (select * from e3 where session = 0 or (session = 1 and channel < 6)) select trial, channel, time, round(value - avg(value) over (partition by session, channel), 6) + 0.0 as value from x where channel < 6")
+def group_cut_to_min(spark, d):
+    cube = tables.cube(spark, d).where((F.col("session") == 0) | ((F.col("session") == 1) & (F.col("channel") < 6)))
+    return cells(compose.GroupApply("session", normalize.Demean("channel"), unequal_output_dims="cut_to_min").transform(cube))
+
+
 @query("select event_type, count(*) as n from events where event_type <> 'view' and user_id % 7 = 0 group by 1")
 def scoring_filter_events(spark, d):
     e = tables.read_table(spark, d, "events").withColumn("time_offset_ms", F.col("user_id") % 7).withColumn("event_type", F.when(F.col("event_type") == "view", "intertrial").otherwise(F.col("event_type")))
