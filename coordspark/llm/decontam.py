@@ -52,9 +52,10 @@ class Vocabulary(dict):
 
 @dataclass
 class Items:
-    """A block of test items as word numbers, with their n-gram seeds."""
+    """A block of test items as word numbers, by their place in the block, with their n-gram seeds."""
 
     words: int
+    ids: list[int | None]
     numbers: dict[str, int]
     items: dict[int, np.ndarray]
     seeds: np.ndarray  # ascending keys
@@ -63,24 +64,24 @@ class Items:
     offset: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]], words: int) -> Items:
+    def of(cls, rows: list[tuple[int | None, str]], words: int) -> Items:
         numbers: dict[str, int] = {}
         items = {}
-        for item_id, text in rows:
+        for i, (_, text) in enumerate(rows):
             w = [p for c in text.split() if (p := plain(c))]
             if len(w) >= words:
-                items[item_id] = np.array([numbers.setdefault(x, len(numbers) + 1) for x in w], np.int64)
+                items[i] = np.array([numbers.setdefault(x, len(numbers) + 1) for x in w], np.int64)
         keys, item, offset = [], [], []
-        for item_id, w in items.items():
+        for i, w in items.items():
             k = cls.keys(w, words)
             keys.append(k)
-            item.append(np.full(len(k), item_id, np.int64))
+            item.append(np.full(len(k), i, np.int64))
             offset.append(np.arange(len(k)))
         flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         seeds, of_seed = np.unique(flat, return_inverse=True)
         order = np.argsort(of_seed, kind="stable")
         join = lambda x: np.concatenate(x)[order] if x else np.empty(0, np.int64)
-        return cls(words, numbers, items, seeds, of_seed[order], join(item), join(offset))
+        return cls(words, [i for i, _ in rows], numbers, items, seeds, of_seed[order], join(item), join(offset))
 
     @staticmethod
     def keys(w: np.ndarray, words: int) -> np.ndarray:
@@ -93,7 +94,7 @@ class Items:
         return key
 
     def passages(self, w: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(item, start, words, seeds) of each stretch of a text that shares seeds with an item."""
+        """(item's place, start, words, seeds) of each stretch of a text that shares seeds with an item."""
         n = len(w) - self.words + 1
         if n < 1 or not len(self.seeds):
             return
@@ -149,7 +150,7 @@ def smith_waterman(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of about ``BLOCK_WORDS`` words."""
     known = benchmark.where("text is not null").select("item_id", "text")
     total = known.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
@@ -165,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_scor
     A row for each document and item whose best passage scores at least ``min_score``; version is a hash of
     the text, score the best score over the item's words and passages how many reach ``min_score``. Words
     ignore case and punctuation. Null or empty texts and items of fewer than ``words`` words match nothing.
-    Rows that repeat doc_id and text give one row. A repeated item_id counts its last text.
+    Rows that repeat doc_id and text give one row, as do items that repeat an item_id. Null ids stay null.
     """
     spark = docs.sparkSession
     found = None
@@ -182,27 +183,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_scor
                     for p in block.passages(vocabulary.read(text.as_py())):
                         for column, value in zip(out, (doc_id.as_py(), version.as_py(), *p), strict=True):
                             column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "version", "item_id", "start", "passage", "seeds"])
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "version", "item", "start", "passage", "seeds"])
 
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), text_of().alias("text"))
-        passages = written(texts.mapInArrow(look, "doc_id long, version long, item_id long, start long, passage array<long>, seeds array<long>"), "passages")
+        texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("version"), text_of().alias("text"))
+        passages = written(texts.mapInArrow(look, "doc_id string, version long, item long, start long, passage array<long>, seeds array<long>"), "passages")
         counts = {r["seed"]: r["n"] for r in passages.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as the block has seeds
         rare = Shared(spark, rare_seeds(items, counts))
 
         def align(frames: Iterator[pd.DataFrame], shared=shared, rare=rare) -> Iterator[pd.DataFrame]:
             for f in frames:
-                f = f[[not rare.value[i].isdisjoint(s) for i, s in zip(f["item_id"], f["seeds"], strict=True)]]
-                for item_id, g in f.groupby("item_id"):
-                    item, order = shared.value.items[item_id], np.argsort(g["passage"].str.len().to_numpy(), kind="stable")
+                f = f[[not rare.value[i].isdisjoint(s) for i, s in zip(f["item"], f["seeds"], strict=True)]]
+                for i, g in f.groupby("item"):
+                    item, order = shared.value.items[i], np.argsort(g["passage"].str.len().to_numpy(), kind="stable")
                     for at in range(0, len(order), 256):  # of like lengths
                         part = g.iloc[order[at : at + 256]]
                         best = smith_waterman(item, list(part["passage"]))
-                        yield part.assign(score=best / len(item))[["doc_id", "version", "item_id", "score"]]
+                        known = pd.array([shared.value.ids[i]] * len(part), dtype="Int64")
+                        yield part.assign(item_id=known, score=best / len(item))[["doc_id", "version", "item_id", "score"]]
 
-        scored = passages.mapInPandas(align, "doc_id long, version long, item_id long, score double").where(F.col("score") >= min_score)
+        scored = passages.mapInPandas(align, "doc_id string, version long, item_id long, score double").where(F.col("score") >= min_score)
         found = scored if found is None else found.unionAll(scored)
-    return found.groupBy("doc_id", "version", "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("passages"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("doc_id", "version", "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("passages"))
 
 
 def rare_seeds(items: Items, counts: dict[int, int]) -> dict[int, frozenset[int]]:
@@ -210,9 +212,9 @@ def rare_seeds(items: Items, counts: dict[int, int]) -> dict[int, frozenset[int]
     rare = {}
     frame = pd.DataFrame({"item": items.item, "seed": items.of_seed}).drop_duplicates()
     frame["n"] = frame["seed"].map(lambda s: counts.get(s, 0))
-    for item_id, g in frame.groupby("item"):
+    for i, g in frame.groupby("item"):
         n = np.sort(g["n"].to_numpy())
-        rare[int(item_id)] = frozenset(g["seed"][g["n"] <= n[len(n) // 2]])
+        rare[int(i)] = frozenset(g["seed"][g["n"] <= n[len(n) // 2]])
     return rare
 
 

@@ -300,7 +300,10 @@ def test_decontamination(spark, none):
         (None, " ".join(item)),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(10, " ".join(item)), (11, None), (12, "one two")], "item_id long, text string")
+    bench = spark.createDataFrame([(10, " ".join(item)), (10, "a text that no document holds"), (11, None), (12, "one two")], "item_id long, text string")
+    nameless = spark.createDataFrame([(None, " ".join(item))], "item_id long, text string")
+    big = spark.createDataFrame([(2**60 + 1, " ".join(item)), (None, " ".join(item))], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(big, nameless).collect()} == {(2**60 + 1, None), (None, None)}
     got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()}
     assert set(got) == {(1, 10), (2, 10), (6, 10), (7, 10), (None, 10)} and got[1, 10] == 1.0
     assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [3, 4, 5]
