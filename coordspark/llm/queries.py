@@ -76,4 +76,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE_SQL, "op6_exact_dedup": exact.ORACLE_SQL, "op9_line_chunks": lines.ORACLE_SQL}
+    return {"op4_secrets": secrets.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op6_exact_dedup": exact.ORACLE_SQL, "op9_line_chunks": lines.ORACLE_SQL, "op10_temperature_mix": mixing.ORACLE_SQL}

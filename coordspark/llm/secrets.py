@@ -122,3 +122,32 @@ def digest(scanned: DataFrame) -> DataFrame:
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k.name}") for i, k in enumerate(KINDS) if k.strong]
     return scanned.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """The digest in DuckDB's SQL, from the same table of kinds."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    each = " union all ".join(
+        f"select id, {i} as k, {quoted(k.part)} as part, {str(k.strong).lower()} as strong, {k.least} as least, {k.most} as most, regexp_extract_all(text, {quoted(k.pattern)}, 0) as ms, regexp_extract_all(text, {quoted(k.pattern)}, {k.group}) as own, string_split_regex(text, {quoted(k.pattern)}) as gaps from t"
+        for i, k in enumerate(KINDS)
+    )
+    strong = ", ".join(f"count(*) filter (k = {i}) as n_{k.name}" for i, k in enumerate(KINDS) if k.strong)
+    names = "[" + ", ".join(quoted(k.name) for k in KINDS) + "]"
+    text = f"string_agg({names}[k + 1] || ':' || s || ':' || e, ',' order by s, k, e)"
+    return f"""
+with t as (select row_number() over () as id, doc_id, coalesce(text, '') as text from documents),
+m as ({each}),
+p as (select *, unnest(range(len(ms))) as i from m),
+q as (select id, k, part, strong, list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0) as s, length(ms[i + 1]) as n from p where length(own[i + 1]) between least and most),
+spans as (select id, k, part, strong, s::bigint as s, (s + n)::bigint as e from q),
+met as (select distinct w.id, w.k, w.s, w.e, w.part, o.part as other from spans w join spans o on w.id = o.id and not w.strong and o.part <> 'endpoint' and w.part <> o.part
+        and o.s - w.e <= {SCOPE} and w.s - o.e <= {SCOPE} and (o.s >= w.e or w.s >= o.e)),
+linked as (select id, k, s, e from met group by id, k, s, e, part having part <> 'endpoint' or count(*) = 2),
+base as (select id, {strong}, {text} as listed from spans where strong group by id),
+every as (select id, {text} as listed from (select id, k, s, e from spans where strong union all select * from linked) group by id)
+select doc_id, {", ".join(f"coalesce(n_{k.name}, 0)::bigint as n_{k.name}" for k in KINDS if k.strong)}, sha256(coalesce(base.listed, '')) as base_sha256, coalesce(every.listed, '') as spans
+from t left join base on t.id = base.id left join every on t.id = every.id
+"""
+
+
+ORACLE_SQL = _sql()
