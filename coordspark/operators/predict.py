@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 import numpy as np
@@ -52,17 +52,22 @@ class NearestMean(Predictor):
 
 
 class LDA(Predictor):
-    """Gaussian classes with a pooled, shrunk covariance (over n); softmax of linear scores."""
+    """Gaussian classes with a pooled, shrunk covariance (over n); softmax of linear scores.
 
-    def __init__(self, sample_dim: str = "trial", target_coord: Any = "stimulus", classes: list | None = None, shrinkage: float = 0.0, priors: Sequence[float] | None = None, **kw: Any):
+    ``covariance_estimator`` may take the pooled ``ClassMoments`` and give another covariance. The one that is
+    used stays in ``covariance``.
+    """
+
+    def __init__(self, sample_dim: str = "trial", target_coord: Any = "stimulus", classes: list | None = None, shrinkage: float = 0.0, priors: Sequence[float] | None = None, covariance_estimator: Callable[[ClassMoments], np.ndarray] | None = None, **kw: Any):
         super().__init__(sample_dim, target_coord, classes, **kw)
-        self.shrinkage, self.priors = shrinkage, priors
+        self.shrinkage, self.priors, self.covariance_estimator = shrinkage, priors, covariance_estimator
 
     def _learn(self, frame: LabeledFrame) -> None:
         target = self.target_names(frame)[0]
         found = {k[0]: m for k, m in moments(self.features(frame), [target]).items() if k[0] is not None}
         m = ClassMoments(found, self.priors)
-        cov = shrunk(m.scatter / m.n, self.shrinkage)
+        cov = self.covariance_estimator(m) if self.covariance_estimator else shrunk(m.scatter / m.n, self.shrinkage)
+        self.covariance = cov
         own = np.linalg.solve(cov + 1e-9 * max(np.trace(cov) / len(cov), 1e-300) * np.eye(len(cov)), m.means.T)
         self.coef = np.zeros((m.means.shape[1], len(self.classes)))
         self.intercept = np.full(len(self.classes), -np.inf)  # classes that the data lack get no probability
