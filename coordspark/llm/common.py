@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -43,6 +44,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Deletes what ``written`` and the writers left in the shared folder; only when no result is still to be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/coordspark")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df``, marked for broadcast only if its counted rows times ``row_bytes`` stay within ``limit``.
 
@@ -82,6 +89,15 @@ class Shared:
         return cloudpickle.loads(self._sent.value)
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker process to the system, where the C library can."""
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return
+    trim(0)
+
+
 def pieces(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` with about ``limit`` characters each, to bound what is held at a time."""
     start, held = 0, 0

@@ -15,6 +15,7 @@ the place of any document in the whole stream follows from one small sum over ta
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import new_path, per_worker, text_of
+from coordspark.llm.common import give_back, new_path, per_worker, text_of
 
 BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 20
 SHARD_SCHEMA = (
@@ -41,26 +42,27 @@ class WordCache(dict):
     give white space no ids.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 250_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.limit, self.tokenizer, self.words = limit, Tokenizer.from_file(path), {}
-        sample = "Aé zu, b"
-        self.splits = self.encode_whole(sample) == b"".join(map(self.encode_whole, sample.split()))
-        if not self.splits:
-            raise ValueError("this tokenizer's ids depend on white space")
+        self.model, self.letters = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        sample = ["Aé", "zu,", "b", "Übergröße", "l'été"]
+        if self.encode_whole(" ".join(sample)) != b"".join(map(self.encode_whole, sample)) or any(self.encode_whole(w) != self.word(w) for w in ("Aé", "zu")):
+            raise ValueError("this tokenizer does not treat words by themselves")
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, w: str) -> bytes:
-        """A word of letters below U+0130, for which lower case and composed form are plain."""
+        """A word of letters below U+0130, for which lower case and composed form are plain: the model alone."""
         w = w.lower()
         ids = self.words.get(w)
         if ids is None:
             if len(self.words) >= self.limit:
                 self.words.clear()
-            ids = self.words[w] = self.encode_whole(w)
+            letters = w if w.isascii() else self.letters.pre_tokenize_str(w)[0][0]
+            ids = self.words[w] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -155,6 +157,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, plane: str = "byt
                 n += len(ids) // 4
         if listed:
             yield close()
+            held.clear()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
