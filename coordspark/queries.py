@@ -15,6 +15,7 @@ from coordspark.functions import scoring
 from coordspark.operators import align, compose, linear, normalize, predict, reduce, reshape, sampling, select, spatial, spectral, weights
 from coordspark.plans import cv, tune
 from coordspark.sources import tables
+from coordspark.streaming import inference
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -652,6 +653,13 @@ def hilbert_relative(spark, d):
     return cells(t.transform(tables.long_cube(spark, d)))
 
 
+@query(f"with {E2} select trial, feature, label, round((value - avg(value) over w) / nullif(stddev_pop(value) over w, 0), 6) + 0.0 as value from e2 window w as (partition by trial)")
+def stream_zscore(spark, d):
+    batch = tables.read_table(spark, d, "embeddings")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{d}/embeddings.parque[t]").select(F.col("vec_id").alias("trial"), "label", "embedding")  # a pattern may name a file or a folder
+    return inference.run_once(stream, "trial", "embedding", "feature", ["label"], lambda f: cells(normalize.ZScore("trial").transform(f), "label"))
+
+
 # -- alignment -----------------------------------------------------------------------------------------------
 
 @query(f"with {E2}, c as (select session, feature, avg(value) as c from e2 group by 1, 2) select e2.session, label, e2.feature, round(avg(value) - any_value(c), 6) + 0.0 as value from e2 join c on e2.session = c.session and e2.feature = c.feature group by 1, 2, 3")
