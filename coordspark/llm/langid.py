@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import Shared, pieces, text_of
+from coordspark.llm.common import Shared, give_back, pieces, text_of
 
 #: The fit sees at most this many documents of a label, of at most this many bytes each.
 FIT_DOCS, FIT_BYTES = 150, 20_000
@@ -125,12 +125,15 @@ class Model:
         return np.where(words.lettered[:, None], words.sums(self.weights) + self.listed[entry], 0.0)
 
     def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The label and its mean probability for each text."""
-        labels, scores = [], []
-        for a, b in pieces(texts, 6_000_000):
-            for name, score in self._label(texts[a:b]):
-                labels.append(name)
-                scores.append(score)
+        """The label and its mean probability for each text.
+
+        Texts of like lengths go together: a few long ones then don't make steps for all others.
+        """
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        labels, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        for a, b in pieces([texts[i] for i in order], 2_000_000):
+            for i, (name, score) in zip(order[a:b], self._label([texts[i] for i in order[a:b]]), strict=True):
+                labels[i], scores[i] = name, score
         return labels, scores
 
     def _label(self, texts: list[str]) -> Iterator[tuple[str, float]]:
@@ -238,9 +241,14 @@ def fit_on(docs: DataFrame, seed: int = 0) -> Model:
     """Fit on a bounded sample: of each label, the ``FIT_DOCS`` distinct rows with the smallest hash among
     those that may be learned from, have a text with up to ``FIT_BYTES`` bytes and a label."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= FIT_BYTES)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    first = rows.select("lang", "h").distinct().withColumn("r", F.expr("row_number() over (partition by lang order by h)")).where(F.col("r") <= FIT_DOCS)
-    wanted = F.broadcast(first.select("lang", "h"))  # FIT_DOCS for each label
-    sample = rows.join(wanted, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).collect()
+    # Hashes are spread evenly, so a share of their range that is expected to hold 4 * FIT_DOCS of a label's
+    # distinct rows holds the FIT_DOCS smallest; only those few rows meet in a window.
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not known:
+        return fit([], [], seed)
+    ends = F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, min(2**64 - 1, 2**64 * 4 * FIT_DOCS // max(n, 1)) - 2**63)])
+    few = rows.where(F.col("h") <= F.element_at(ends, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    sample = few.withColumn("r", F.expr("row_number() over (partition by lang order by h)")).where(F.col("r") <= FIT_DOCS).collect()
     sample.sort(key=lambda r: (r["lang"], r["h"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], seed)
 
@@ -252,6 +260,7 @@ def labelled(docs: DataFrame, model: Model, text: str = "text") -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
         names, scores = shared.value.label(list(texts))
+        give_back()
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return of(text_of(docs[text]))
