@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import Shared, small, text_of, written
+from coordspark.llm.common import Shared, give_back, small, text_of, written
 
 #: Words of benchmark text that a block holds (its vocabulary and seeds go to every task).
 BLOCK_WORDS = 200_000
@@ -34,7 +34,7 @@ def plain(chunk: str) -> str:
 class Vocabulary(dict):
     """UTF-8 chunk to word number: 0 is a word the items lack, -1 no word at all. Bounded like a cache."""
 
-    def __init__(self, numbers: dict[str, int], limit: int = 400_000):
+    def __init__(self, numbers: dict[str, int], limit: int = 200_000):
         self.numbers, self.limit = numbers, limit
 
     def __missing__(self, chunk: bytes) -> int:
@@ -185,6 +185,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_scor
                             column.append(value)
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "version", "item", "start", "passage", "seeds"])
+            vocabulary.clear()
+            give_back()
 
         texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("version"), text_of().alias("text"))
         passages = written(texts.mapInArrow(look, "doc_id string, version long, item long, start long, passage array<long>, seeds array<long>"), "passages")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import small, text_of, written
+from coordspark.llm.common import give_back, small, text_of, written
 from coordspark.llm.components import connected
 
 SEED = 42
@@ -152,6 +152,7 @@ def sketched(text: str | Column, words: int, views: int = VIEWS) -> Column:
             view = (sample * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(views)
             of_view = [signed(majority(part)) if len(part := sample[view == v]) else None for v in range(views)]
             rows.append((signed(majority(hashes)), of_view, (least[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()))
+        give_back()
         return pd.DataFrame(rows, columns=["fp", "views", "sketch"])
 
     return of(text_of(text))
