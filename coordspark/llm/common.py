@@ -7,7 +7,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cache, cached_property
 from typing import Any
 
 from pyspark import cloudpickle
@@ -24,11 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="coordspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
+@cache
+def _own_folder() -> str:
+    """One temporary folder for this process; in local mode the driver is the only machine."""
+    return "file://" + tempfile.mkdtemp(prefix="coordspark-")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/coordspark/{name}-{uuid.uuid4().hex}"
 

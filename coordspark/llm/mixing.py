@@ -129,3 +129,52 @@ def mixture(docs: DataFrame, max_repeats: float, seed: int = 0) -> DataFrame:
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text", "source")
     mixed = mix(whole, max_repeats=max_repeats, seed=seed)
     return mixed.select("row", F.explode(F.expr("sequence(1, greatest(1, mix_copies))"))).select("row.*")
+
+
+#: With an entropy of 0.95 and at most 4 repeats: the exponent by twenty halvings on the same grid.
+ORACLE_SQL = r"""
+with recursive sized as (
+  select doc_id, source, coalesce('=' || source, '-') as key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as tokens,
+         (('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % 1024)::int as block
+  from documents
+), blocks as (
+  select key, block, sum(tokens)::bigint as block_tokens from sized group by 1, 2
+), totals as (
+  select key, sum(block_tokens)::bigint as source_tokens from blocks group by 1
+), shares as (
+  select key, source_tokens, source_tokens::double / (select sum(source_tokens) from totals)::double as p from totals where source_tokens > 0
+), high(step, lo, hi) as (
+  select 0, 0, 1048576
+  union all
+  select step + 1, case when ok then mid else lo end, case when ok then hi else mid end
+  from (select step, lo, hi, (lo + hi) // 2 as mid,
+               (select ln(sum(pow(p, a))) - any_value(a) * sum(pow(p, a) * ln(p)) / sum(pow(p, a)) >= 0.95 * ln(count(*)) - 1e-12
+                from (select p, ((lo + hi) // 2) / 1048576.0::double as a from shares)) as ok
+        from high where step < 20)
+), ends as (
+  select (select -sum(p * ln(p)) >= 0.95 * ln(count(*)) - 1e-12 from shares) as flat,
+         (select max(p) / min(p) from shares) as spread
+), alpha as (
+  select case when (select count(*) from shares) < 2 then 1.0::double else round(greatest(
+           case when flat then 1.0 else (select lo from high where step = 20) / 1048576.0 end,
+           case when spread <= 4.0 then 0.0 else ceil((1 - ln(4.0) / ln(spread)) * 1048576.0) / 1048576.0 end), 6) end::double as a
+  from ends
+), weighted as (
+  select key, source_tokens, pow(p, a) / (select sum(pow(p, a)) from shares, alpha) as weight,
+         (select sum(source_tokens) from totals)::double * (select sum(pow(p, a)) from shares, alpha) / (select min(pow(p, a - 1)) from shares, alpha) as whole
+  from shares, alpha
+), budgets as (
+  select *, round(weight * whole)::bigint as budget from weighted
+), ranked as (
+  select *, row_number() over w - 1 as block_rank, sum(block_tokens) over (w rows unbounded preceding) as upto
+  from blocks window w as (partition by key order by md5('0:' || key || ':' || block), block)
+), plan as (
+  select r.key, block, block_rank, coalesce(weight, 0) as weight,
+         case when source_tokens is null then 1
+              else budget // source_tokens + case when block_tokens > 0 and 2 * upto - block_tokens <= 2 * (budget % source_tokens) then 1 else 0 end end::bigint as copies
+  from ranked r left join budgets b on r.key = b.key
+)
+select doc_id, source, tokens, (select a from alpha) as alpha, round(weight, 6) as weight, s.block, block_rank, copies
+from sized s join plan p on s.key = p.key and s.block = p.block
+"""

@@ -83,7 +83,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> Da
     keyed = written(keyed, "records").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SPLITS)).cast("int"))
 
     per_slot = {r["virtual_slot"]: r["bytes"] for r in keyed.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}
-    hot = sorted(s for s, b in per_slot.items() if 4 * shards * b > sum(per_slot.values()) and b > 1 << 20)
+    hot = sorted(s for s, b in per_slot.items() if 4 * shards * b > sum(per_slot.values()))
     placed = keyed.withColumn("part", F.when(F.col("virtual_slot").isin(hot), F.col("salt")).otherwise(F.lit(-1)))
     sums = placed.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
     weight = {(r["virtual_slot"], r["part"]): r["bytes"] for r in sums}

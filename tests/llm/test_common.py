@@ -23,16 +23,22 @@ def test_small_is_by_counted_rows(spark):
     assert "broadcast" in plan(common.small(df, 10, 10_000)) and "broadcast" not in plan(common.small(df, 11, 10_000))
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
-    assert common.shared_folder(spark)  # set by the session
-    held = spark.conf.get("spark.checkpoint.dir")
-    try:
-        spark.conf.set("spark.checkpoint.dir", "")
-        with pytest.raises(RuntimeError):
-            common.shared_folder(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", held)
+class _Session:
+    """As much of a session as shared_folder reads."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = type("Context", (), {"master": master})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: folder or default)})
+
+
+def test_the_shared_folder_is_the_sessions():
+    assert common.shared_folder(_Session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        common.shared_folder(_Session("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        common.shared_folder(_Session("local-cluster[2,1,1024]"))
+    own = common.shared_folder(_Session("local[4]"))
+    assert own == common.shared_folder(_Session("local")) and os.path.isdir(own.removeprefix("file://"))
 
 
 def test_pipeline(spark, sf):
