@@ -141,9 +141,10 @@ def assemble(records: DataFrame) -> DataFrame:
     captures of their own, with a null response.
     """
     body = [c for c in records.columns if c != "concurrent_to"]
-    named = records.select("record_id", "kind", F.explode("concurrent_to").alias("other"))
+    named_all = written(records.select("record_id", "kind", "concurrent_to"), "record-ids")  # so that archives are read twice, not for each join
+    named = named_all.select("record_id", F.explode("concurrent_to").alias("other"))
     edges = named.select("record_id", "other").unionAll(named.select(F.col("other").alias("record_id"), F.col("record_id").alias("other"))).distinct()
-    mains = records.where(F.col("kind").isin("response", "revisit")).select(F.col("record_id").alias("main")).distinct()
+    mains = named_all.where(F.col("kind").isin("response", "revisit")).select(F.col("record_id").alias("main")).distinct()
     direct = edges.join(mains, edges.other == mains.main).groupBy("record_id").agg(F.min("main").alias("near"))
     through = direct.join(mains, direct.record_id == mains.main, "left_anti").select(F.col("record_id").alias("via"), F.col("near").alias("by_way"))
     second = edges.join(through, edges.other == through.via).groupBy("record_id").agg(F.min("by_way").alias("far"))
