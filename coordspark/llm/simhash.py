@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coordspark.llm.common import give_back, small, text_of, written
@@ -134,15 +134,18 @@ def print_hex(fp: Column) -> Column:
 # De-duplication to a similarity. At a Jaccard similarity of 0.8 whole-text fingerprints differ in some ten
 # bits, out of reach of any segment index, so texts also get fingerprints of small consistent samples: the
 # VIEW_FEATURES smallest shingle hashes, dealt into VIEWS views. Most views of similar texts hold the same
-# shingles and so the same fingerprint; candidates from any view are held to the similarity itself.
+# shingles and so the same fingerprint. Texts that share a view's fingerprint, or whose whole-text fingerprints
+# are linked, make a bucket; all its pairs are held to the similarity, but for those already connected. Buckets
+# of over PAIRED texts are cut into blocks of BLOCK texts of like lengths, and each two blocks meet in one group.
 VIEWS, VIEW_FEATURES, SKETCH = 16, 64, 256
+PAIRED, BLOCK = 64, 256
 
 
 def sketched(text: str | Column, words: int, views: int = VIEWS) -> Column:
-    """A struct (fp, views, sketch): the whole text's fingerprint, each view's (null if it is empty), and the
-    ``SKETCH`` smallest distinct shingle hashes' leading 32 bits, ascending."""
+    """A struct (fp, views, sketch, size): the whole text's fingerprint, each view's (null if it is empty), the
+    ``SKETCH`` smallest distinct shingle hashes' leading 32 bits, ascending, and the number of distinct hashes."""
 
-    @F.pandas_udf("fp long, views array<long>, sketch binary")
+    @F.pandas_udf("fp long, views array<long>, sketch binary, size int")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
@@ -151,9 +154,9 @@ def sketched(text: str | Column, words: int, views: int = VIEWS) -> Column:
             sample = least[:VIEW_FEATURES]
             view = (sample * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(views)
             of_view = [signed(majority(part)) if len(part := sample[view == v]) else None for v in range(views)]
-            rows.append((signed(majority(hashes)), of_view, (least[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()))
+            rows.append((signed(majority(hashes)), of_view, (least[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes(), len(least)))
         give_back()
-        return pd.DataFrame(rows, columns=["fp", "views", "sketch"])
+        return pd.DataFrame(rows, columns=["fp", "views", "sketch", "size"])
 
     return of(text_of(text))
 
@@ -169,6 +172,66 @@ def _jaccard(a: bytes, b: bytes) -> float:
     return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)) / len(union)
 
 
+def _merges(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of similar sets that connect all which similar pairs connect, beside those with one root already.
+
+    Each set outside the largest component is held against all of other components at once, by the postings of
+    its values; sets of the most common values come first, since a centre spares its copies the comparison.
+    """
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    often = np.bincount(token, minlength=1)
+    starts, ends = np.r_[0, np.cumsum(size)[:-1]], np.r_[0, np.cumsum(often)]
+    posted = owner[np.argsort(token, kind="stable")]
+    part = np.unique(roots, return_inverse=True)[1]
+    common = np.bincount(owner, often[token], len(sets)) / np.maximum(size, 1)
+    left = part != np.bincount(part).argmax()
+    todo, found = np.ones(len(sets), bool), []
+    for p in np.flatnonzero(left)[np.argsort(-common[left], kind="stable")]:
+        todo[p] = False
+        other = part != part[p]
+        other &= todo
+        if not other.any():
+            continue
+        own = token[starts[p] : starts[p] + size[p]]
+        met = np.concatenate([posted[ends[t] : ends[t + 1]] for t in own]) if len(own) else np.empty(0, np.int64)
+        shared = np.bincount(met, minlength=len(sets))
+        union = size[p] + size - shared
+        like = np.flatnonzero(other & (np.where(union > 0, shared / np.maximum(union, 1), 1.0) >= similarity))
+        for q in like[np.unique(part[like], return_index=True)[1]]:
+            found.append((int(p), int(q)))
+            part[part == part[q]] = part[p]
+    return found
+
+
+def _block_links(large: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of ``large(view, vp, version, root, size)`` links ``(u, v)`` that connect what similar pairs of a bucket connect."""
+    by_size = Window.partitionBy("view", "vp").orderBy("size", "version")
+    blocks = written(large.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK)), "blocks")
+    of_block = blocks.groupBy("view", "vp", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    a, b = (of_block.select("view", "vp", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "least", "most", "low", "high")]) for x in "ab")
+    apart = F.least("low_a", "low_b") < F.greatest("high_a", "high_b")
+    met = a.join(b, ["view", "vp"]).where((F.col("block_a") <= F.col("block_b")) & (F.col("least_b") * similarity <= F.col("most_a") + 1) & apart)
+    sides = met.select("view", "vp", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+
+    @F.pandas_udf("binary")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts], dtype="object")
+
+    asked = written(blocks.select("version").distinct(), "asked")
+    known = docs.select(F.xxhash64(text_of()).alias("version"), text_of().alias("text")).join(small(asked, 16), "version", "left_semi").dropDuplicates(["version"])
+    sets = written(known.select("version", whole("text").alias("values")), "sets")
+
+    def link(g: pd.DataFrame) -> pd.DataFrame:
+        version = g["version"].to_numpy()
+        found = _merges([np.frombuffer(x, "<u8") for x in g["values"]], g["root"].to_numpy(), similarity)
+        return pd.DataFrame([(version[i], version[j]) for i, j in found], columns=["u", "v"], dtype="int64")
+
+    full = sides.join(blocks, ["view", "vp", "block"]).join(sets, "version")
+    return full.select("view", "vp", "block_a", "block_b", "version", "root", "values").groupBy("view", "vp", "block_a", "block_b").applyInPandas(link, "u long, v long")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """``docs(doc_id, text)`` to a written table ``(doc_id, version, group)``, a row for each input row.
 
@@ -178,23 +241,36 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
     """
     rows = written(docs.select("doc_id", F.xxhash64(text_of()).alias("version"), sketched("text", words).alias("s")).select("doc_id", "version", "s.*"), "sketches")
     texts = rows.select("version", "fp", "views").distinct()
-
-    of_view = texts.select("version", F.posexplode("views").alias("view", "vp")).where("vp is not null")
-    ends = of_view.groupBy("view", "vp").agg(F.min("version").alias("low"), F.max("version").alias("high")).where("low < high")
-    met = of_view.join(ends, ["view", "vp"]).select("version", F.explode(F.array("low", "high")).alias("other"))
-    same = texts.groupBy("fp").agg(F.min("version").alias("first"), F.max("version").alias("last"))
-    alike = texts.join(same.where("first < last"), "fp").select("version", F.col("first").alias("other"))
-    heads = same.select("fp", "first")
-    near = links(texts.select("fp").distinct(), max_bits).join(heads.select(F.col("fp").alias("u"), F.col("first").alias("version")), "u").join(heads.select(F.col("fp").alias("v"), F.col("first").alias("other")), "v").select("version", "other")
-    pairs = met.unionAll(alike).unionAll(near).where("version <> other").select(F.least("version", "other").alias("u"), F.greatest("version", "other").alias("v")).distinct()
+    sketch = rows.groupBy("version").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"))
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    sketch = rows.groupBy("version").agg(F.first("sketch").alias("sketch"))
-    held = pairs.join(sketch.select(F.col("version").alias("u"), F.col("sketch").alias("a")), "u").join(sketch.select(F.col("version").alias("v"), F.col("sketch").alias("b")), "v")
-    roots = written(connected(held.where(jaccard("a", "b") >= similarity).select("u", "v")), "groups").withColumnRenamed("node", "version")
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("version <> other").select(F.least("version", "other").alias("u"), F.greatest("version", "other").alias("v")).distinct()
+        held = pairs.join(sketch.select(F.col("version").alias("u"), F.col("sketch").alias("a")), "u").join(sketch.select(F.col("version").alias("v"), F.col("sketch").alias("b")), "v")
+        return held.where(jaccard("a", "b") >= similarity).select("u", "v")
+
+    prints = written(connected(links(texts.select("fp").distinct(), max_bits)), "prints").select(F.col("node").alias("fp"), "root")
+    of_print = texts.join(prints, "fp", "left").select("version", F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("vp"))
+    of_view = texts.select("version", F.posexplode("views").alias("view", "vp")).where("vp is not null").unionAll(of_print)
+    sizes = of_view.groupBy("view", "vp").agg(F.min("version").alias("low"), F.max("version").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    met = written(of_view.join(sizes, ["view", "vp"]), "buckets")
+
+    # most copies are connected by the ends of their buckets; then the pairs of what is still apart
+    stars = written(connected(similar(met.select("version", F.explode(F.array("low", "high")).alias("other")))), "stars")
+    rooted = met.join(stars.withColumnRenamed("node", "version"), "version", "left").select("view", "vp", "n", "version", F.coalesce("root", "version").alias("root"))
+    split = rooted.groupBy("view", "vp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("view", "vp")
+    apart = written(rooted.join(split, ["view", "vp"]).join(sketch.select("version", "size"), "version"), "apart")
+    few = apart.where(F.col("n") <= PAIRED)
+    a, b = (few.select("view", "vp", F.col("version").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}")) for x in ("version", "other"))
+    sized = F.least("size_version", "size_other") + 1 >= F.greatest("size_version", "size_other") * similarity
+    rest = similar(a.join(b, ["view", "vp"]).where((F.col("version") < F.col("other")) & (F.col("root_version") != F.col("root_other")) & sized).select("version", "other"))
+    large = apart.where(F.col("n") > PAIRED)
+    if not large.isEmpty():
+        rest = rest.unionAll(_block_links(large, docs, words, similarity))
+    roots = written(connected(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(rest)), "groups").withColumnRenamed("node", "version")
     return written(rows.select("doc_id", "version").join(roots, "version", "left").select("doc_id", "version", F.coalesce("root", "version").alias("group")), "grouped")
 
 

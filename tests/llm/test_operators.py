@@ -119,6 +119,33 @@ def test_near_dedup(spark, docs, none):
     assert simhash.dedup(docs).columns == docs.columns and simhash.dedup(none).count() == 0
 
 
+def test_near_dedup_finds_the_hub_of_many_copies(spark):
+    base = [f"w{i}" for i in range(240)]
+    random = np.random.default_rng(4)
+    texts = [" ".join(base)]
+    for n in range(600):
+        changed = {60 * k + int(at) for k, at in enumerate(random.integers(4, 56, 4))}
+        texts.append(" ".join(f"x{n}.{i}" if i in changed else w for i, w in enumerate(base)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    like = [(i, j) for i, j in itertools.combinations(range(601), 2) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert {(0, j) for j in range(1, 601)} <= set(like) and len(like) < 0.2 * 601 * 300
+    kept = simhash.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
+def test_merges_against_brute_force():
+    random = np.random.default_rng(5)
+    for _ in range(20):
+        bases = [random.permutation(400)[:60] for _ in range(4)]
+        sets = [np.unique(np.r_[random.permutation(bases[n % 4])[: random.integers(45, 61)], random.integers(400, 10**6, random.integers(0, 9))]) for n in range(60)] + [np.empty(0, np.int64)] * 2
+        start = {tuple(sorted(x)) for x in random.integers(0, 60, (10, 2)).tolist()}
+        roots = components(range(62), lambda i, j: (i, j) in start)
+        like = {(i, j) for i, j in itertools.combinations(range(62), 2) if len(u := np.union1d(sets[i], sets[j])) == 0 or len(np.intersect1d(sets[i], sets[j])) / len(u) >= 0.8}
+        found = {(min(x), max(x)) for x in simhash._merges(sets, np.array([roots[i] for i in range(62)]), 0.8)}
+        assert found <= like
+        assert components(range(62), lambda i, j: (i, j) in start | found) == components(range(62), lambda i, j: (i, j) in start | like)
+
+
 def test_exact_groups(docs, none):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = defaultdict(list)
