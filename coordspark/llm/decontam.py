@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, alignment scores them.
 
 One scan of the corpus maps words onto the benchmark's vocabulary and gives out, for each text and item that
-share a seed, the words around the seeds. Seed frequencies over the whole corpus come from these rows; of each
-item the rarer half of its seeds (ties included) may call for an alignment. Smith-Waterman over words (match 1,
-mismatch and gap -1) then scores the passage; its share of the item's length is the score, so that edited and
-partly reworded copies count. The benchmark is a stated query set, taken in blocks of a bounded size.
+share a seed, the words around the seeds. A passage is aligned if it has so many of the item's words, in whatever
+order, that its score could suffice; this drops what shares common phrases only, and nothing that counts.
+Smith-Waterman over words (match 1, mismatch and gap -1) then scores the passage; its share of the item's length
+is the score, so that edited and partly reworded copies count. The benchmark is a stated query set, taken in blocks of a bounded size.
 """
 
 from __future__ import annotations
@@ -93,8 +93,8 @@ class Items:
             key ^= key >> np.uint64(29)
         return key
 
-    def passages(self, w: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(item's place, start, words, seeds) of each stretch of a text that shares seeds with an item."""
+    def passages(self, w: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item's place, start, words) of each stretch of a text that shares seeds with an item."""
         n = len(w) - self.words + 1
         if n < 1 or not len(self.seeds):
             return
@@ -117,15 +117,26 @@ class Items:
         first, last = np.searchsorted(self.of_seed, seed, "left"), np.searchsorted(self.of_seed, seed, "right")
         reps = last - first
         where = np.repeat(first - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-        item, place, seed = self.item[where], np.repeat(at, reps) - self.offset[where], np.repeat(seed, reps)
+        item, place = self.item[where], np.repeat(at, reps) - self.offset[where]
         order = np.lexsort((place, item))
-        item, place, seed = item[order], place[order], seed[order]
+        item, place = item[order], place[order]
         size = np.array([len(self.items[i]) for i in item])
         new = np.r_[True, (item[1:] != item[:-1]) | (place[1:] - SLACK > place[:-1] + size[:-1] + SLACK)]
         cuts = np.flatnonzero(new)
         for a, b in zip(cuts, [*cuts[1:], len(item)], strict=True):
             start = max(0, place[a] - SLACK)
-            yield int(item[a]), int(start), w[start : max(place[b - 1], 0) + size[a] + SLACK], np.unique(seed[a:b])
+            yield int(item[a]), int(start), w[start : max(place[b - 1], 0) + size[a] + SLACK]
+
+
+def shared_words(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
+    """The item's words that each passage holds, in whatever order; no alignment scores more."""
+    known, counts = np.unique(item, return_counts=True)
+    flat = np.concatenate(passages)
+    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    met = known[at] == flat
+    cell = np.repeat(np.arange(len(passages)), [len(p) for p in passages])[met] * len(known) + at[met]
+    held = np.bincount(cell, minlength=len(passages) * len(known)).reshape(len(passages), len(known))
+    return np.minimum(held, counts).sum(axis=1)
 
 
 def smith_waterman(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
@@ -178,26 +189,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_scor
             block = shared.value
             vocabulary = Vocabulary(block.numbers)
             for b in batches:
-                out: tuple[list, ...] = ([], [], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for doc_id, version, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
                     for p in block.passages(vocabulary.read(text.as_py())):
                         for column, value in zip(out, (doc_id.as_py(), version.as_py(), *p), strict=True):
                             column.append(value)
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "version", "item", "start", "passage", "seeds"])
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "version", "item", "start", "passage"])
             vocabulary.clear()
             give_back()
 
         texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("version"), text_of().alias("text"))
-        passages = written(texts.mapInArrow(look, "doc_id string, version long, item long, start long, passage array<long>, seeds array<long>"), "passages")
-        counts = {r["seed"]: r["n"] for r in passages.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as the block has seeds
-        rare = Shared(spark, rare_seeds(items, counts))
+        passages = written(texts.mapInArrow(look, "doc_id string, version long, item long, start long, passage array<long>"), "passages")
 
-        def align(frames: Iterator[pd.DataFrame], shared=shared, rare=rare) -> Iterator[pd.DataFrame]:
+        def align(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for f in frames:
-                f = f[[not rare.value[i].isdisjoint(s) for i, s in zip(f["item"], f["seeds"], strict=True)]]
                 for i, g in f.groupby("item"):
-                    item, order = shared.value.items[i], np.argsort(g["passage"].str.len().to_numpy(), kind="stable")
+                    item = shared.value.items[i]
+                    could = [shared_words(item, list(g["passage"].iloc[at : at + 256])) / len(item) >= min_score for at in range(0, len(g), 256)]
+                    g = g[np.concatenate(could)]
+                    order = np.argsort(g["passage"].str.len().to_numpy(), kind="stable")
                     for at in range(0, len(order), 256):  # of like lengths
                         part = g.iloc[order[at : at + 256]]
                         best = smith_waterman(item, list(part["passage"]))
@@ -209,17 +220,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_scor
     return found.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("doc_id", "version", "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("passages"))
 
 
-def rare_seeds(items: Items, counts: dict[int, int]) -> dict[int, frozenset[int]]:
-    """Of each item the seeds that are no more frequent in the corpus than its median seed."""
-    rare = {}
-    frame = pd.DataFrame({"item": items.item, "seed": items.of_seed}).drop_duplicates()
-    frame["n"] = frame["seed"].map(lambda s: counts.get(s, 0))
-    for i, g in frame.groupby("item"):
-        n = np.sort(g["n"].to_numpy())
-        rare[int(i)] = frozenset(g["seed"][g["n"] <= n[len(n) // 2]])
-    return rare
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their columns. Null and empty texts stay."""
     bad = small(written(contaminated(docs, benchmark, words, min_score).select(F.col("doc_id").alias("bad_doc"), F.col("version").alias("bad_version")).distinct(), "contaminated"), 24)

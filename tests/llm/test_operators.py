@@ -337,6 +337,27 @@ def test_decontamination(spark, none):
     assert decontam.contaminated(none, bench).count() == 0 and decontam.clean(docs, bench.where("false")).count() == len(rows)
 
 
+def test_decontamination_against_alignment_of_whole_texts(spark):
+    random = np.random.default_rng(7)
+    kinds = [(each, copies) for each in (4, 5) for copies in (0, 1, 5)]
+    items = [[f"i{n}.{i}" for i in range(40)] for n in range(len(kinds))]
+    edit = lambda w, each: [x if (i + 1) % each else f"changed{i}" for i, x in enumerate(w)]
+    around = lambda w, n: [f"f{x}" for x in random.integers(0, 500, n)] + w + [f"f{x}" for x in random.integers(0, 500, n)]
+    rows = []
+    for n, (each, copies) in enumerate(kinds):
+        rows += [around(edit(items[n], each), 30) for _ in range(3)] + [around(items[n], 20) for _ in range(copies)]
+        rows.append(around(items[n][:19] + items[n - 1][20:39], 10))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    want = {}
+    for n, w in enumerate(items):
+        number = {x: i + 1 for i, x in enumerate(w)}
+        best = decontam.smith_waterman(np.arange(1, 41), [np.array([number.get(x, 0) for x in row]) for row in rows])
+        want |= {(i, n): b / 40 for i, b in enumerate(best.tolist()) if b >= 20}
+    assert len(want) == 6 * 3 + 2 * (1 + 5)
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()} == want
+
+
 def test_alignment_against_the_plain_table():
     def plain(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
