@@ -137,8 +137,10 @@ def print_hex(fp: Column) -> Column:
 # shingles and so the same fingerprint. Texts that share a view's fingerprint, or whose whole-text fingerprints
 # are linked, make a bucket; all its pairs are held to the similarity, but for those already connected. Buckets
 # of over PAIRED texts are cut into blocks of BLOCK texts of like lengths, and each two blocks meet in one group.
+# Sketches of the SKETCH smallest hashes decide for texts they hold whole, and for others only where the estimate
+# is MARGIN, six standard errors, or more away from the similarity asked for; all else is for the full sets.
 VIEWS, VIEW_FEATURES, SKETCH = 16, 64, 256
-PAIRED, BLOCK = 64, 256
+PAIRED, BLOCK, MARGIN = 64, 256, 0.15
 
 
 def sketched(text: str | Column, words: int, views: int = VIEWS) -> Column:
@@ -205,6 +207,17 @@ def _merges(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> lis
     return found
 
 
+def _full_sets(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """A written table ``(version, values)`` of the texts ``asked(version)``: their distinct shingle hashes, ascending."""
+
+    @F.pandas_udf("binary")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts], dtype="object")
+
+    known = docs.select(F.xxhash64(text_of()).alias("version"), text_of().alias("text")).join(small(written(asked, "asked"), 16), "version", "left_semi").dropDuplicates(["version"])
+    return written(known.select("version", whole("text").alias("values")), "sets")
+
+
 def _block_links(large: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of ``large(view, vp, version, root, size)`` links ``(u, v)`` that connect what similar pairs of a bucket connect."""
     by_size = Window.partitionBy("view", "vp").orderBy("size", "version")
@@ -215,13 +228,7 @@ def _block_links(large: DataFrame, docs: DataFrame, words: int, similarity: floa
     met = a.join(b, ["view", "vp"]).where((F.col("block_a") <= F.col("block_b")) & (F.col("least_b") * similarity <= F.col("most_a") + 1) & apart)
     sides = met.select("view", "vp", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
 
-    @F.pandas_udf("binary")
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts], dtype="object")
-
-    asked = written(blocks.select("version").distinct(), "asked")
-    known = docs.select(F.xxhash64(text_of()).alias("version"), text_of().alias("text")).join(small(asked, 16), "version", "left_semi").dropDuplicates(["version"])
-    sets = written(known.select("version", whole("text").alias("values")), "sets")
+    sets = _full_sets(blocks.select("version").distinct(), docs, words)
 
     def link(g: pd.DataFrame) -> pd.DataFrame:
         version = g["version"].to_numpy()
@@ -236,8 +243,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
     """``docs(doc_id, text)`` to a written table ``(doc_id, version, group)``, a row for each input row.
 
     Rows of a group reach each other over links of texts whose ``words``-word shingles have a Jaccard
-    similarity of ``similarity`` or more (from sketches: exact up to 256 shingles, a standard error of at most
-    0.03 beyond). version hashes the text; null counts as empty, and empty texts are equal.
+    similarity of ``similarity`` or more, by full shingle sets unless a sketch is whole or clear. version hashes the text; null counts as empty, and empty texts are equal.
     """
     rows = written(docs.select("doc_id", F.xxhash64(text_of()).alias("version"), sketched("text", words).alias("s")).select("doc_id", "version", "s.*"), "sketches")
     texts = rows.select("version", "fp", "views").distinct()
@@ -247,10 +253,21 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
+    @F.pandas_udf("double")
+    def full_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        shared = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(a, b, strict=True)]
+        return pd.Series([n / (len(x) // 8 + len(y) // 8 - n) for n, x, y in zip(shared, a, b, strict=True)], dtype="float64")
+
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("version <> other").select(F.least("version", "other").alias("u"), F.greatest("version", "other").alias("v")).distinct()
-        held = pairs.join(sketch.select(F.col("version").alias("u"), F.col("sketch").alias("a")), "u").join(sketch.select(F.col("version").alias("v"), F.col("sketch").alias("b")), "v")
-        return held.where(jaccard("a", "b") >= similarity).select("u", "v")
+        a, b = (sketch.select(F.col("version").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("size").alias(f"size_{x}")) for x in "uv")
+        told = F.greatest("size_u", "size_v") < SKETCH
+        held = written(pairs.join(a, "u").join(b, "v").select("u", "v", told.alias("told"), jaccard("sketch_u", "sketch_v").alias("share")), "held")
+        sure = held.where(F.col("share") >= F.when(F.col("told"), similarity).otherwise(similarity + MARGIN)).select("u", "v")
+        open_ = held.where(~F.col("told") & (F.abs(F.col("share") - similarity) < MARGIN)).select("u", "v")
+        sets = _full_sets(open_.select(F.explode(F.array("u", "v")).alias("version")).distinct(), docs, words)
+        full = open_.join(sets.select(F.col("version").alias("u"), F.col("values").alias("a")), "u").join(sets.select(F.col("version").alias("v"), F.col("values").alias("b")), "v")
+        return sure.unionAll(full.where(full_jaccard("a", "b") >= similarity).select("u", "v"))
 
     prints = written(connected(links(texts.select("fp").distinct(), max_bits)), "prints").select(F.col("node").alias("fp"), "root")
     of_print = texts.join(prints, "fp", "left").select("version", F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("vp"))

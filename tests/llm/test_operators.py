@@ -133,6 +133,20 @@ def test_near_dedup_finds_the_hub_of_many_copies(spark):
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
+def test_near_dedup_of_long_texts_is_exact(spark):
+    rows, want = [], set()
+    for n in range(120):
+        shared, own = 1000 * (82 if n % 2 else 78) // 100, 1000 * (9 if n % 2 else 11) // 100  # a union of 1,000
+        w = [f"p{n}.{i}" for i in range(shared + own + 4)]
+        a, b = w, w[: shared + 4] + [f"q{n}.{i}" for i in range(own)]
+        x, y = (set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in (a, b))
+        assert (len(x & y) / len(x | y) >= 0.8) == (n % 2 == 1) and len(x | y) == 1000
+        rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+        want |= {2 * n} if n % 2 else {2 * n, 2 * n + 1}
+    kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == want
+
+
 def test_merges_against_brute_force():
     random = np.random.default_rng(5)
     for _ in range(20):
