@@ -7,6 +7,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache, cached_property
 from typing import Any
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast below this many bytes, by its counted rows and a stated width; above it Spark joins by shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Paths of the tables that ``written`` made; a list of a few hundred names in a long session.
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,13 +49,32 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``written`` made inside it: for steps whose result is stored by then."""
+    outer, held = _MADE.copy(), _MADE
+    held.clear()
+    try:
+        yield
+    finally:
+        for path in held:
+            delete(spark, path)
+        held[:] = outer
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any store that Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_written(spark: SparkSession) -> None:
     """Deletes what ``written`` and the writers left in the shared folder; only when no result is still to be read."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/coordspark")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_folder(spark)}/coordspark")
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -63,6 +85,39 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
 
 
+def fits(df: DataFrame, width: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast only if its rows of ``width`` bytes, measured where it is a column, stay within
+    ``limit``. ``df`` should be a written table."""
+    if isinstance(width, int):
+        return small(df, width, limit)
+    size = df.agg(F.sum(width).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+def matched(rows: DataFrame, one: DataFrame, on: list[str], width: int | Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``one``, which holds a row for each key at most; both should be written tables.
+
+    A key of ``rows`` may hold any part of them. ``one`` is broadcast if it ``fits``. Else keys that hold more than
+    an even task's share of ``rows`` are split by a salt into so many even shares, and their rows of ``one``
+    repeated as often: fewer than two rows for each shuffle partition in all.
+    """
+    if (sent := fits(one, width)) is not one:
+        return rows.join(sent, on, how)
+    spark = rows.sparkSession
+    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count()
+    share = F.ceil(F.count(F.lit(1)) * parts / F.lit(max(total, 1))).cast("int").alias("_shares")
+    crowded = rows.groupBy(*on).agg(share).where("_shares > 1")
+    keys = crowded.collect()  # fewer than parts
+    if not keys:
+        return rows.join(one, on, how)
+    hot = F.broadcast(spark.createDataFrame(keys, crowded.schema))
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_shares")), F.lit(0)).cast("int")
+    salted = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_shares")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))
+    repeated = one.join(hot, on, "left").withColumn("_salt", each).drop("_shares")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is a group minimum and a join on the node, so a node with very many neighbours is combined before
-the shuffle and split by the adaptive join. Rounds end in written tables; nothing is collected but two sums.
+Each round is a group minimum, combined before its shuffle, and a lookup of that minimum by node. A node may have
+any number of neighbours: ``common.matched`` splits the few crowded nodes by a salt.
+Rounds end in written tables; nothing is collected but two sums and those few nodes.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import written
+from coordspark.llm.common import matched, written
+
+#: Bytes of a row (node, minimum) in a broadcast.
+ROW_BYTES = 32
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -18,29 +22,34 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Each larger neighbour of a node to the least of the node and its neighbours. Edges have u > v."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    return matched(up, least, ["u"], ROW_BYTES).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v")))
+    """Each smaller neighbour of a node, and the node, to the least of them. Edges have u > v."""
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    met = matched(edges, least, ["u"], ROW_BYTES).where("v <> m")
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(u, v)`` to ``(node, root)``: every node that has an edge, with the smallest node of its component.
 
-    Self-loops, nulls and repeated edges are ignored. An empty table gives an empty one.
+    Self-loops, nulls and repeated edges are ignored. An empty table gives an empty one. Nodes of crowded and of
+    few edges are treated alike, apart from how their minimum reaches them.
     """
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = written(ordered.distinct(), "edges")
     state = _state(edges)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        edges = written(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        large = written(_large_star(edges).distinct(), "large")
+        edges = written(_small_star(large).distinct(), "edges")
         before, state = state, _state(edges)
         if before == state:
             break

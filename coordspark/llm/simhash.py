@@ -2,14 +2,15 @@
 
 A text's fingerprint has a bit set where over half of its word shingles' XXH64 values (seed 42) have it.
 Two fingerprints within ``max_bits`` differing bits are found through the pigeonring principle: cut both into
-a ring of ``max_bits + 1`` segments; if the total difference is within the budget, then some segment starts a
-chain whose differences, summed segment by segment, stay within the proportional budgets
-``floor(l * max_bits / segments)`` for every length ``l``. The first budget is zero, so fingerprints meet on
-one equal segment (an equi-join key); the longer chains prune the meeting pairs before the full Hamming check.
+a ring of segments; if the total difference is within the budget, then some segment starts a chain whose
+differences, summed segment by segment, stay within the proportional budgets ``floor(l * max_bits / segments)``
+for every length ``l``. The first budgets are zero, so fingerprints meet on an equal start of a chain (an
+equi-join key); the longer chains prune the meeting pairs before the full Hamming check. More segments make the
+equal start longer, up to nearly half of the bits, so their number follows the number of fingerprints.
 
-A segment value that more than ``bucket`` distinct fingerprints share would give a square of pairs. There the
+A chain that more than ``bucket`` distinct fingerprints share would give a square of pairs. There the
 rest of the budget is met at the midpoint instead: each fingerprint is listed under itself and under each
-one-bit change outside the equal segment, and two that share a listing differ in two bits at most. A listing
+one-bit change outside the equal chain, and two that share a listing differ in two bits at most. A listing
 holds 65 fingerprints at most, whose links form a star; so work grows with the fingerprints, not their square.
 """
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import give_back, small, text_of, written
+from coordspark.llm.common import give_back, matched, small, text_of, written
 from coordspark.llm.components import connected
 
 SEED = 42
@@ -65,49 +66,88 @@ def fingerprint(text: str | Column = "text", words: int = 3) -> Column:
     return of(text_of(text))
 
 
-def _segments(max_bits: int) -> list[tuple[int, int]]:
-    """(start, width) of each segment of the ring."""
-    m = max_bits + 1
-    ends = [round(64 * i / m) for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
-
-
-def _mask(segments: list[tuple[int, int]]) -> int:
-    return signed(sum(((1 << w) - 1) << s for s, w in segments))
+class Ring:
+    """The 64 bits cut into segments, and what the budgets ``floor(l * max_bits / segments)`` ask of their chains."""
+
+    def __init__(self, max_bits: int, segments: int):
+        ends = [round(64 * i / segments) for i in range(segments + 1)]
+        self.segments = [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+        self.max_bits = max_bits
+        lengths = range(1, segments + 1)
+        #: Segments at the start of a chain that must be equal: their budget is zero.
+        self.equal = max([n for n in lengths if n * max_bits // segments == 0], default=0)
+
+    @classmethod
+    def for_count(cls, max_bits: int, n: int) -> Ring:
+        """The fewest segments whose equal start has a value for each of ``n`` fingerprints, or else 31."""
+        for segments in range(max_bits + 1, 32):
+            ring = cls(max_bits, segments)
+            if min(width(ring.mask(i, ring.equal)) for i in range(segments)) >= n.bit_length():
+                return ring
+        return ring
+
+    def mask(self, start: int, length: int) -> int:
+        """The bits of the chain of ``length`` segments from ``start``, round the ring."""
+        m = len(self.segments)
+        parts = (self.segments[(start + i) % m] for i in range(length))
+        return signed(sum(((1 << w) - 1) << s for s, w in parts))
+
+    def keys(self) -> list[tuple[int, int]]:
+        """(start, mask) of what has to be equal at each start."""
+        return [(i, self.mask(i, self.equal)) for i in range(len(self.segments) if self.max_bits else 1)]
+
+    def chains(self, start: Column, apart: Column) -> Column:
+        """Whether differences ``apart`` keep the budgets of all longer chains from ``start``."""
+        m, kept = len(self.segments), F.lit(True)
+        for length in range(self.equal + 1, m):
+            budget = length * self.max_bits // m
+            if length < m - 1 and (length + 1) * self.max_bits // m == budget:
+                continue  # the longer chain asks for more
+            bits = [F.when(start == i, F.bit_count(apart.bitwiseAND(F.lit(self.mask(i, length))))) for i in range(m)]
+            kept = kept & (F.coalesce(*bits) <= budget)
+        return kept & (F.bit_count(apart) <= self.max_bits)
+
+
+def width(mask: int) -> int:
+    return (mask & (1 << 64) - 1).bit_count()
 
 
 def links(prints: DataFrame, max_bits: int = 2, bucket: int = 64) -> DataFrame:
     """``prints(fp)``, distinct, to links ``(u, v)`` that connect exactly the fingerprints within ``max_bits``.
 
-    All such pairs of a segment value with up to ``bucket`` fingerprints are given; of larger ones, enough to
-    connect the same components, and only true links.
+    The ring is cut by the number of fingerprints, so that an equal chain is shared by few that are not alike:
+    21 bits up to two million, 31 bits and more beyond a billion. All pairs within ``max_bits`` that share the
+    chain are given. Where over ``bucket`` share one, as in crowds of near copies, links that connect the same
+    components are given in place of their square of pairs.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits must be 0, 1 or 2")
-    ring = _segments(max_bits)
-    m = len(ring)
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(signed((1 << w) - 1))).alias("seg")) for i, (s, w) in enumerate(ring)])).alias("k")).select("fp", "k.i", "k.seg")
-    sizes = keyed.groupBy("i", "seg").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(keyed.join(sizes, ["i", "seg"]), "ring")
+    prints = written(prints.select("fp"), "distinct")
+    ring = Ring.for_count(max_bits, prints.count())
+    at = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask)).alias("seg")) for i, mask in ring.keys()]
+    keyed = written(prints.select("fp", F.explode(F.array(*at)).alias("k")).select("fp", "k.i", "k.seg"), "keyed")
+    shared = keyed.groupBy("i", "seg").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(matched(keyed, written(shared, "shared"), ["i", "seg"], 40), "ring")
 
     few = members.where(F.col("n") <= bucket)
     a, b = (few.select("i", "seg", F.col("fp").alias(x)) for x in "uv")
     apart = F.col("u").bitwiseXOR(F.col("v"))
-    chains = F.lit(True)
-    for length in range(2, m):
-        budget = length * max_bits // m
-        of_start = F.coalesce(*[F.when(F.col("i") == i, F.bit_count(apart.bitwiseAND(F.lit(_mask([ring[(i + j) % m] for j in range(length)]))))) for i in range(m)])
-        chains = chains & (of_start <= budget)
-    pairs = a.join(b, ["i", "seg"]).where((F.col("u") < F.col("v")) & chains & (F.bit_count(apart) <= max_bits)).select("u", "v")
+    pairs = a.join(b, ["i", "seg"]).where((F.col("u") < F.col("v")) & ring.chains(F.col("i"), apart)).select("u", "v")
     if max_bits == 0:
         return pairs
 
+    # one budget is left on the way to a midpoint, and one behind it
     many = members.where(F.col("n") > bucket)
-    flips = F.coalesce(*[F.when(F.col("i") == i, F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << b)) for b in range(64) if not s <= b < s + w])) for i, (s, w) in enumerate(ring)])
-    listed = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid")).distinct()
-    listings = listed.groupBy("mid").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    free = [
+        F.when(F.col("i") == i, F.array(*[F.lit(x) for x in (0, *(signed(1 << b) for b in range(64) if not mask >> b & 1))]))
+        for i, mask in ring.keys()
+    ]
+    listed = many.select("fp", F.explode(F.coalesce(*free)).alias("flip"))
+    listed = listed.select("fp", F.col("fp").bitwiseXOR(F.col("flip").cast("long")).alias("mid")).distinct()
+    listings = listed.groupBy("mid").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
     centre = F.array_min("fps") if max_bits == 2 else F.col("mid")
-    stars = listings.where(F.lit(max_bits == 2) | F.array_contains("fps", F.col("mid"))).select(F.explode("fps").alias("u"), centre.alias("v")).where("u <> v")
+    with_centre = listings.where(F.lit(max_bits == 2) | F.array_contains("fps", F.col("mid")))
+    stars = with_centre.select(F.explode("fps").alias("u"), centre.alias("v")).where("u <> v")
     return pairs.unionAll(stars)
 
 
@@ -120,11 +160,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket:
     """
     rows = written(docs.select("doc_id", fingerprint("text", words).alias("fp")), "prints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = written(connected(links(rows.select("fp").distinct(), max_bits, bucket)), "roots").withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    roots = written(connected(links(rows.select("fp").distinct(), max_bits, bucket)), "roots")
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = written(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    classes = written(matched(rooted, named, ["root"], 32).select("fp", "component_id"), "classes")
+    return matched(rows, classes, ["fp"], 32).select("doc_id", "fp", "component_id")
 
 
 def print_hex(fp: Column) -> Column:
@@ -136,7 +177,7 @@ def print_hex(fp: Column) -> Column:
 # VIEW_FEATURES smallest shingle hashes, dealt into VIEWS views. Most views of similar texts hold the same
 # shingles and so the same fingerprint. Texts that share a view's fingerprint, or whose whole-text fingerprints
 # are linked, make a bucket; all its pairs are held to the similarity, but for those already connected. Buckets
-# of over PAIRED texts are cut into blocks of BLOCK texts of like lengths, and each two blocks meet in one group.
+# of over PAIRED texts are cut into blocks of about BLOCK texts, and each two blocks meet in one group.
 # Sketches of the SKETCH smallest hashes decide for texts they hold whole, and for others only where the estimate
 # is MARGIN, six standard errors, or more away from the similarity asked for; all else is for the full sets.
 VIEWS, VIEW_FEATURES, SKETCH = 16, 64, 256
@@ -214,19 +255,33 @@ def _full_sets(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     def whole(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts], dtype="object")
 
-    known = docs.select(F.xxhash64(text_of()).alias("version"), text_of().alias("text")).join(small(written(asked, "asked"), 16), "version", "left_semi").dropDuplicates(["version"])
+    texts = docs.select(F.xxhash64(text_of()).alias("version"), text_of().alias("text"))
+    known = texts.join(small(written(asked, "asked"), 16), "version", "left_semi").dropDuplicates(["version"])
     return written(known.select("version", whole("text").alias("values")), "sets")
 
 
 def _block_links(large: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of ``large(view, vp, version, root, size)`` links ``(u, v)`` that connect what similar pairs of a bucket connect."""
-    by_size = Window.partitionBy("view", "vp").orderBy("size", "version")
-    blocks = written(large.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK)), "blocks")
-    of_block = blocks.groupBy("view", "vp", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
-    a, b = (of_block.select("view", "vp", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "least", "most", "low", "high")]) for x in "ab")
+    """Of ``large(view, vp, version, root)`` links ``(u, v)`` that connect what similar pairs of a bucket connect.
+
+    Blocks are dealt by hash, those of the bucket's largest component apart from the others, so that blocks of one
+    component alone, most of them in a crowd of copies, are never held against each other.
+    """
+    bucket = ["view", "vp"]
+    of_root = written(large.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n")), "roots-of-bucket")
+    main = of_root.groupBy(*bucket).agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
+    main = written(main.select(*bucket, F.col("main.root").alias("main"), F.col("main.n").alias("of_main"), "all"), "main")
+    known = matched(large, main, bucket, 64)
+    is_main = F.col("root") == F.col("main")
+    n = F.when(is_main, F.col("of_main")).otherwise(F.col("all") - F.col("of_main"))
+    dealt = F.pmod(F.xxhash64("version"), F.ceil(n / BLOCK)) * 2 + F.when(is_main, 0).otherwise(1)
+    blocks = written(known.select(*bucket, "version", "root", dealt.cast("long").alias("block")), "blocks")
+
+    of_block = written(blocks.groupBy(*bucket, "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "of-block")
+    a, b = (of_block.select(*bucket, *[F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high")]) for x in "ab")
     apart = F.least("low_a", "low_b") < F.greatest("high_a", "high_b")
-    met = a.join(b, ["view", "vp"]).where((F.col("block_a") <= F.col("block_b")) & (F.col("least_b") * similarity <= F.col("most_a") + 1) & apart)
-    sides = met.select("view", "vp", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    met = a.join(b, bucket).where((F.col("block_a") <= F.col("block_b")) & apart)
+    both = F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block")
+    sides = met.select(*bucket, "block_a", "block_b", both)
 
     sets = _full_sets(blocks.select("version").distinct(), docs, words)
 
@@ -235,8 +290,9 @@ def _block_links(large: DataFrame, docs: DataFrame, words: int, similarity: floa
         found = _merges([np.frombuffer(x, "<u8") for x in g["values"]], g["root"].to_numpy(), similarity)
         return pd.DataFrame([(version[i], version[j]) for i, j in found], columns=["u", "v"], dtype="int64")
 
-    full = sides.join(blocks, ["view", "vp", "block"]).join(sets, "version")
-    return full.select("view", "vp", "block_a", "block_b", "version", "root", "values").groupBy("view", "vp", "block_a", "block_b").applyInPandas(link, "u long, v long")
+    full = sides.join(blocks, [*bucket, "block"]).join(sets, "version")
+    full = full.select(*bucket, "block_a", "block_b", "version", "root", "values")
+    return full.groupBy(*bucket, "block_a", "block_b").applyInPandas(link, "u long, v long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
@@ -245,63 +301,97 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
     Rows of a group reach each other over links of texts whose ``words``-word shingles have a Jaccard
     similarity of ``similarity`` or more, by full shingle sets unless a sketch is whole or clear. version hashes the text; null counts as empty, and empty texts are equal.
     """
-    rows = written(docs.select("doc_id", F.xxhash64(text_of()).alias("version"), sketched("text", words).alias("s")).select("doc_id", "version", "s.*"), "sketches")
-    texts = rows.select("version", "fp", "views").distinct()
-    sketch = rows.groupBy("version").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"))
-
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    @F.pandas_udf("double")
-    def full_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        shared = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(a, b, strict=True)]
-        return pd.Series([n / (len(x) // 8 + len(y) // 8 - n) for n, x, y in zip(shared, a, b, strict=True)], dtype="float64")
+    row = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), sketched("text", words).alias("s"))
+    rows = written(row.select("doc_id", "version", "s.*"), "sketches")
+    one = rows.groupBy("version").agg(F.first(F.struct("fp", "views", "sketch", "size")).alias("s"))
+    texts = written(one.select("version", "s.*"), "texts")
+    sketch = texts.select("version", "sketch", "size")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("version <> other").select(F.least("version", "other").alias("u"), F.greatest("version", "other").alias("v")).distinct()
-        a, b = (sketch.select(F.col("version").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("size").alias(f"size_{x}")) for x in "uv")
+        pairs = pairs.where("version <> other").select(F.least("version", "other").alias("u"), F.greatest("version", "other").alias("v"))
+        pairs = written(pairs.distinct(), "pairs")
+        for x in "uv":  # a hub may be in any part of the pairs
+            side = sketch.select(F.col("version").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("size").alias(f"size_{x}"))
+            pairs = written(matched(pairs, side, [x], 4 * SKETCH + 32), "pairs")
         told = F.greatest("size_u", "size_v") < SKETCH
-        held = written(pairs.join(a, "u").join(b, "v").select("u", "v", told.alias("told"), jaccard("sketch_u", "sketch_v").alias("share")), "held")
+        held = written(pairs.select("u", "v", told.alias("told"), _sketch_share("sketch_u", "sketch_v").alias("share")), "held")
         sure = held.where(F.col("share") >= F.when(F.col("told"), similarity).otherwise(similarity + MARGIN)).select("u", "v")
-        open_ = held.where(~F.col("told") & (F.abs(F.col("share") - similarity) < MARGIN)).select("u", "v")
-        sets = _full_sets(open_.select(F.explode(F.array("u", "v")).alias("version")).distinct(), docs, words)
-        full = open_.join(sets.select(F.col("version").alias("u"), F.col("values").alias("a")), "u").join(sets.select(F.col("version").alias("v"), F.col("values").alias("b")), "v")
-        return sure.unionAll(full.where(full_jaccard("a", "b") >= similarity).select("u", "v"))
-
-    prints = written(connected(links(texts.select("fp").distinct(), max_bits)), "prints").select(F.col("node").alias("fp"), "root")
-    of_print = texts.join(prints, "fp", "left").select("version", F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("vp"))
-    of_view = texts.select("version", F.posexplode("views").alias("view", "vp")).where("vp is not null").unionAll(of_print)
-    sizes = of_view.groupBy("view", "vp").agg(F.min("version").alias("low"), F.max("version").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    met = written(of_view.join(sizes, ["view", "vp"]), "buckets")
+        full = held.where(~F.col("told") & (F.abs(F.col("share") - similarity) < MARGIN)).select("u", "v")
+        sets = _full_sets(full.select(F.explode(F.array("u", "v")).alias("version")).distinct(), docs, words)
+        for x, values in zip("uv", "ab", strict=True):
+            side = sets.select(F.col("version").alias(x), F.col("values").alias(values))
+            full = written(matched(full, side, [x], F.octet_length(values) + 32), "open")
+        return sure.unionAll(full.where(_full_share("a", "b") >= similarity).select("u", "v"))
+
+    prints = connected(links(texts.select("fp").distinct(), max_bits))
+    prints = written(prints.select(F.col("node").alias("fp"), "root"), "print-roots")
+    of_print = matched(texts.select("version", "fp"), prints, ["fp"], 32, "left")
+    of_print = of_print.select("version", F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("vp"))
+    of_view = texts.select("version", F.posexplode("views").alias("view", "vp")).where("vp is not null")
+    listed = written(of_view.unionAll(of_print), "listed")
+    bucket = ["view", "vp"]
+    ends = listed.groupBy(*bucket).agg(F.min("version").alias("low"), F.max("version").alias("high"), F.count(F.lit(1)).alias("n"))
+    met = written(matched(listed, written(ends.where("low < high"), "ends"), bucket, 64), "buckets")
 
     # most copies are connected by the ends of their buckets; then the pairs of what is still apart
     stars = written(connected(similar(met.select("version", F.explode(F.array("low", "high")).alias("other")))), "stars")
-    rooted = met.join(stars.withColumnRenamed("node", "version"), "version", "left").select("view", "vp", "n", "version", F.coalesce("root", "version").alias("root"))
-    split = rooted.groupBy("view", "vp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("view", "vp")
-    apart = written(rooted.join(split, ["view", "vp"]).join(sketch.select("version", "size"), "version"), "apart")
+    rooted = met.join(stars.withColumnRenamed("node", "version"), "version", "left")
+    rooted = written(rooted.select(*bucket, "n", "version", F.coalesce("root", "version").alias("root")), "rooted")
+    split = rooted.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    apart = matched(rooted, written(split.select(*bucket), "split"), bucket, 32)
+    apart = written(apart.join(sketch.select("version", "size"), "version"), "apart")
     few = apart.where(F.col("n") <= PAIRED)
-    a, b = (few.select("view", "vp", F.col("version").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}")) for x in ("version", "other"))
-    sized = F.least("size_version", "size_other") + 1 >= F.greatest("size_version", "size_other") * similarity
-    rest = similar(a.join(b, ["view", "vp"]).where((F.col("version") < F.col("other")) & (F.col("root_version") != F.col("root_other")) & sized).select("version", "other"))
-    large = apart.where(F.col("n") > PAIRED)
+    a, b = (few.select(*bucket, *[F.col(c).alias(f"{c}_{x}") for c in ("version", "root", "size")]) for x in "ab")
+    sized = F.least("size_a", "size_b") + 1 >= F.greatest("size_a", "size_b") * similarity
+    pairs = a.join(b, bucket).where((F.col("version_a") < F.col("version_b")) & (F.col("root_a") != F.col("root_b")) & sized)
+    rest = similar(pairs.select(F.col("version_a").alias("version"), F.col("version_b").alias("other")))
+    large = written(apart.where(F.col("n") > PAIRED).select(*bucket, "version", "root"), "large")
     if not large.isEmpty():
         rest = rest.unionAll(_block_links(large, docs, words, similarity))
-    roots = written(connected(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(rest)), "groups").withColumnRenamed("node", "version")
-    return written(rows.select("doc_id", "version").join(roots, "version", "left").select("doc_id", "version", F.coalesce("root", "version").alias("group")), "grouped")
+    linked = stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(rest)
+    roots = written(connected(linked).select(F.col("node").alias("version"), F.col("root").alias("group")), "groups")
+    grouped = matched(rows.select("doc_id", "version"), roots, ["version"], 32, "left")
+    return written(grouped.select("doc_id", "version", F.coalesce("group", "version").alias("group")), "grouped")
+
+
+def _sketch_share(a: str, b: str) -> Column:
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return share(a, b)
+
+
+def _full_share(a: str, b: str) -> Column:
+    """The Jaccard similarity of two full shingle sets; the sets are not empty."""
+
+    def of(x: bytes, y: bytes) -> float:
+        both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+        return both / (len(x) // 8 + len(y) // 8 - both)
+
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return share(a, b)
 
 
 def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each group the one with the smallest doc_id.
 
-    A null doc_id comes last; of rows that repeat doc_id and text one stays.
+    A null doc_id comes last; of rows that repeat doc_id and text one stays. Null, empty and wordless texts are
+    alike, a text of fewer than ``words`` words is one shingle, and texts of any length are compared whole. An
+    empty table gives none; columns of any other names are kept as they are.
     """
     grouped = similar_groups(docs, words, similarity, max_bits)
     rank = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "version")).alias("first")
-    first = grouped.groupBy("group").agg(rank).select("group", F.col("first.doc_id").alias("keep_doc"), F.col("first.version").alias("keep_version"))
-    counted = grouped.groupBy("group", "doc_id", "version").agg(F.count(F.lit(1)).alias("n")).join(first, "group")
+    first = grouped.groupBy("group").agg(rank)
+    first = written(first.select("group", F.col("first.doc_id").alias("keep_doc"), F.col("first.version").alias("keep_version")), "first")
+    counted = written(grouped.groupBy("group", "doc_id", "version").agg(F.count(F.lit(1)).alias("n")), "counted")
+    counted = matched(counted, first, ["group"], 48)
     stays = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("version") == F.col("keep_version"))
-    marked = written(counted.select(F.col("doc_id").alias("gone_doc"), F.col("version").alias("gone_version"), stays.alias("stays"), "n").where("not stays or n > 1"), "gone")
+    marked = counted.select(F.col("doc_id").alias("gone_doc"), F.col("version").alias("gone_version"), stays.alias("stays"), "n")
+    marked = written(marked.where("not stays or n > 1"), "gone")
     gone = marked.select("gone_doc", "gone_version")
     own = docs["doc_id"].eqNullSafe(gone["gone_doc"]) & (F.xxhash64(text_of(docs["text"])) == gone["gone_version"])
     kept = docs.join(small(gone, 24), own, "left_anti")
