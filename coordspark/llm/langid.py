@@ -8,7 +8,6 @@ word's label probabilities; a document's label has the highest mean over its wor
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,14 +19,19 @@ from pyspark.sql import functions as F
 
 from coordspark.llm.common import Shared, give_back, pieces, text_of
 
-#: The fit sees at most this many documents of a label, of at most this many bytes each.
-FIT_DOCS, FIT_BYTES = 150, 20_000
+#: The fit sees at most this many documents of a label and of all labels, of at most this many bytes each, and the
+#: labels that most documents have. These bound the sample on the driver (40 MB) and the model (51 MB).
+FIT_DOCS, FIT_ALL, FIT_BYTES, FIT_LABELS = 150, 2000, 20_000, 100
 #: Training sequences and their words; spans of one language last SPAN words on average.
 SEQUENCES, LENGTH, SPAN = 2400, 48, 12
 BUCKETS = 1 << 17
 UNDETERMINED = "und"
 _DROP = bytes(b for b in range(128) if b != 32 and not chr(b).isalpha())
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of a Unicode letter category (L*) occurs; digits, fractions and marks are none."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -60,7 +64,8 @@ class Words:
                     inside[:size] &= ~(space[:size] & space[1:])
             bucket = (value * np.uint32(2654435761) ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) >> np.uint32(15)
             grams.append(np.where(inside, bucket & np.uint32(BUCKETS - 1), BUCKETS).astype(np.int64))
-        return cls(plain, starts, grams, np.array([len(w) > 0 for w in plain]))
+        lettered = [len(w) > 0 and (w.isascii() or has_letter(w.decode("utf-8", "replace"))) for w in plain]
+        return cls(plain, starts, grams, np.array(lettered))
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """The summed weights of each word's n-grams."""
@@ -124,42 +129,65 @@ class Model:
         entry = np.fromiter((self.lexicon.get(w, none) for w in words.plain), np.int64, len(words.plain))
         return np.where(words.lettered[:, None], words.sums(self.weights) + self.listed[entry], 0.0)
 
-    def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The label and its mean probability for each text.
+    def label(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """For each text: its label, the mean probability of that label over its words, and the certainty, which
+        is the mean of each word's highest probability, whatever label that is."""
+        found = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
+        for i, (_, marginal, counted) in self.words(texts):
+            mean = marginal[counted].mean(axis=0)
+            best = int(mean.argmax())
+            certain = float(marginal[counted].max(axis=1).mean())
+            found[i] = (self.labels[best], float(min(1.0, mean[best])), min(1.0, certain))
+        return found
+
+    def words(self, texts: list[str]) -> Iterator[tuple[int, tuple[list[bytes], np.ndarray, np.ndarray]]]:
+        """For each text with a letter, in no order: its place, and its UTF-8 chunks, their label probabilities and
+        which of them have a letter (all, if a letter is only in what is left out of words).
 
         Texts of like lengths go together: a few long ones then don't make steps for all others.
         """
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        labels, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         for a, b in pieces([texts[i] for i in order], 2_000_000):
-            for i, (name, score) in zip(order[a:b], self._label([texts[i] for i in order[a:b]]), strict=True):
-                labels[i], scores[i] = name, score
-        return labels, scores
+            yield from self._words([(i, texts[i]) for i in order[a:b] if has_letter(texts[i])])
 
-    def _label(self, texts: list[str]) -> Iterator[tuple[str, float]]:
-        known: dict[bytes, int] = {}
-        ids, lengths = [], []
-        for t in texts:
-            chunks = t.encode("utf-8", "replace").split() if _LETTER.search(t) else []
-            ids.append(np.fromiter((known.setdefault(c, len(known)) for c in chunks), np.int64, len(chunks)))
-            lengths.append(len(chunks))
-        if not known or not self.labels:
-            for _ in texts:
-                yield UNDETERMINED, 0.0
+    def _words(self, texts: list[tuple[int, str]]) -> Iterator[tuple[int, tuple[list[bytes], np.ndarray, np.ndarray]]]:
+        if not texts or not self.labels:
             return
-        words = Words.of(list(known))
-        lanes = Lanes(np.array(lengths))
-        flat = np.concatenate(ids)[lanes.place]
-        marginal, _, _ = lanes.forward_backward(self.scores(words)[flat], self.transition, self.start)
-        counted = words.lettered[flat].astype(float)
-        n = np.bincount(lanes.sequence, counted, len(texts))
-        all_words = n[lanes.sequence] == 0  # letters only where none is counted: count every word
-        counted[all_words] = 1.0
-        n = np.bincount(lanes.sequence, counted, len(texts))
-        mean = np.stack([np.bincount(lanes.sequence, marginal[:, k] * counted, len(texts)) for k in range(len(self.labels))], axis=1) / np.maximum(n, 1)[:, None]
-        best = mean.argmax(axis=1)
-        for i, size in enumerate(lengths):
-            yield (self.labels[best[i]], float(min(1.0, mean[i, best[i]]))) if size else (UNDETERMINED, 0.0)
+        known: dict[bytes, int] = {}
+        chunks = [t.encode("utf-8", "replace").split() for _, t in texts]
+        ids = [np.fromiter((known.setdefault(c, len(known)) for c in own), np.int64, len(own)) for own in chunks]
+        words, lanes = Words.of(list(known)), Lanes(np.array([len(c) for c in chunks]))
+        flat = np.concatenate(ids)
+        laid, _, _ = lanes.forward_backward(self.scores(words)[flat[lanes.place]], self.transition, self.start)
+        marginal = np.empty_like(laid)
+        marginal[lanes.place] = laid
+        counted, at = words.lettered[flat], 0
+        for (i, _), own in zip(texts, chunks, strict=True):
+            part = slice(at, at + len(own))
+            at += len(own)
+            yield i, (own, marginal[part], counted[part] if counted[part].any() else np.ones(len(own), bool))
+
+    def spans(self, text: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, label, mean probability) of each run of words with one label, in code points, end exclusive.
+
+        Words without a letter go with the run before them; a text without a letter has no span.
+        """
+        runs: list[list] = []
+        for _, (chunks, marginal, counted) in self.words([text]):
+            data, at, points = text.encode("utf-8", "replace"), 0, 0
+            for chunk, p, own in zip(chunks, marginal, counted, strict=True):
+                found = data.index(chunk, at)
+                start = points + len(data[at:found].decode("utf-8", "replace"))
+                at, points = found + len(chunk), start + len(chunk.decode("utf-8", "replace"))
+                if not own:
+                    continue
+                best = int(p.argmax())
+                if runs and runs[-1][2] == self.labels[best]:
+                    runs[-1][1] = points
+                    runs[-1][3].append(float(p[best]))
+                else:
+                    runs.append([start, points, self.labels[best], [float(p[best])]])
+        return [(a, b, name, sum(ps) / len(ps)) for a, b, name, ps in runs]
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 0, rounds: int = 60, rate: float = 0.1, decay: float = 1e-3) -> Model:
@@ -238,48 +266,71 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit_on(docs: DataFrame, seed: int = 0) -> Model:
-    """Fit on a bounded sample: of each label, the ``FIT_DOCS`` distinct rows with the smallest hash among
-    those that may be learned from, have a text with up to ``FIT_BYTES`` bytes and a label."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= FIT_BYTES)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    # Hashes are spread evenly, so a share of their range that is expected to hold 4 * FIT_DOCS of a label's
-    # distinct rows holds the FIT_DOCS smallest; only those few rows meet in a window.
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    """Fit on a bounded sample: of each label, the ``FIT_DOCS`` distinct rows (fewer where that would be over
+    ``FIT_ALL`` in all) with the smallest hash among those that may be learned from, have a text with up to
+    ``FIT_BYTES`` bytes and one of the ``FIT_LABELS`` labels that most of them have."""
+    usable = ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= FIT_BYTES)
+    rows = docs.where(usable).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # Hashes are spread evenly, so a share of their range that is expected to hold four times the wanted rows
+    # of a label holds those with the smallest hashes; only those few rows meet in a window.
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    known = {r["lang"]: max(r["n"], 1) for r in counts.orderBy(F.desc("n"), "lang").limit(FIT_LABELS).collect()}
     if not known:
         return fit([], [], seed)
-    ends = F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, min(2**64 - 1, 2**64 * 4 * FIT_DOCS // max(n, 1)) - 2**63)])
-    few = rows.where(F.col("h") <= F.element_at(ends, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    sample = few.withColumn("r", F.expr("row_number() over (partition by lang order by h)")).where(F.col("r") <= FIT_DOCS).collect()
+    each = max(1, min(FIT_DOCS, FIT_ALL // len(known)))
+    ends = {lang: min(2**64 - 1, 2**64 * 4 * each // n) - 2**63 for lang, n in known.items()}
+    end = F.element_at(F.create_map(*[F.lit(x) for pair in ends.items() for x in pair]), F.col("lang"))
+    few = rows.where(F.col("lang").isin(list(known))).where(F.col("h") <= end)
+    few = few.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rank = F.expr("row_number() over (partition by lang order by h)")
+    sample = few.withColumn("r", rank).where(F.col("r") <= each).collect()
     sample.sort(key=lambda r: (r["lang"], r["h"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], seed)
 
 
 def labelled(docs: DataFrame, model: Model, text: str = "text") -> Column:
-    """A struct (lang_pred, score) for a text column of ``docs``; null is as empty."""
-    shared = Shared(docs.sparkSession, model)  # BUCKETS and FIT_DOCS bound it
+    """A struct (lang_pred, score, certainty) for a text column of ``docs``; null is as empty."""
+    shared = Shared(docs.sparkSession, model)  # BUCKETS, FIT_LABELS and FIT_ALL bound it
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, certainty double")
     def of(texts: pd.Series) -> pd.DataFrame:
-        names, scores = shared.value.label(list(texts))
+        found = shared.value.label(list(texts))
         give_back()
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        return pd.DataFrame(found, columns=["lang_pred", "score", "certainty"])
 
     return of(text_of(docs[text]))
 
 
+def language_spans(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, start, end, lang, probability)``: the runs of words of one language in
+    code-switched text, in code points. Texts that are null or have no letter give no row."""
+    shared = Shared(docs.sparkSession, model)
+
+    @F.pandas_udf("array<struct<start:int,end:int,lang:string,probability:double>>")
+    def of(texts: pd.Series) -> pd.Series:
+        names = ("start", "end", "lang", "probability")
+        return pd.Series([[dict(zip(names, s, strict=True)) for s in shared.value.spans(t)] for t in texts])
+
+    return docs.select("doc_id", F.explode(of(text_of(docs["text"]))).alias("s")).select("doc_id", "s.*")
+
+
 def identify(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """``docs(doc_id, text, lang)`` to ``(doc_id, held_out, lang_pred, score)``, a row for each input row.
+    """``docs(doc_id, text, lang)`` to ``(doc_id, held_out, lang_pred, score, certainty)``, a row for each input row.
 
-    Predictions see the text only. Null texts and texts without a letter are ``und`` with score 0, as are
-    all if there is no row to learn from. Of equally likely labels the first in order is taken.
+    Predictions see the text only, of any length and whole. Null texts and texts without a letter are ``und`` with
+    score 0, as are all if there is no row to learn from. Of equally likely labels the first in order is taken.
+    Rows that repeat are each returned; other columns, whatever their names, are ignored; no row gives none.
     """
-    model = fit_on(docs, seed)
-    return docs.select("doc_id", held_out().alias("held_out"), labelled(docs, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    predicted = docs.select("doc_id", held_out().alias("held_out"), labelled(docs, fit_on(docs, seed)).alias("p"))
+    return predicted.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.certainty")
 
 
-def identified(docs: DataFrame, min_score: float = 0.4, seed: int = 0) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a score of ``min_score`` or more, unchanged."""
+def identified(docs: DataFrame, min_certainty: float = 0.5, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` whose words' languages are determined with a mean certainty of ``min_certainty`` or
+    more, unchanged: mixed texts stay if it is clear which languages they mix."""
     p = "predicted"
     while p in docs.columns:
         p += "_"
     marked = docs.withColumn(p, labelled(docs, fit_on(docs, seed)))
-    return marked.where((F.col(f"{p}.lang_pred") != UNDETERMINED) & (F.col(f"{p}.score") >= min_score)).select(*[marked[c] for c in docs.columns])
+    kept = (F.col(f"{p}.lang_pred") != UNDETERMINED) & (F.col(f"{p}.certainty") >= min_certainty)
+    return marked.where(kept).select(*[marked[c] for c in docs.columns])

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from coordspark.llm import decontam, exact, langid, lines, mixing, planes, secrets, sharding, simhash, warc
+from coordspark.llm import common, decontam, exact, langid, lines, mixing, planes, secrets, sharding, simhash, warc
 from coordspark.llm.components import connected
 from coordspark.llm.queries import END_ID, tokenizer_path
 
@@ -147,6 +147,62 @@ def test_near_dedup_of_long_texts_is_exact(spark):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_near_dedup_against_brute_force(spark, monkeypatch):
+    """1,000 texts, 600 of them edits of 30 bases that share boilerplate, others close to but below the limit; once
+    more with every lookup by shuffle, so that crowded keys are split."""
+    random = np.random.default_rng(11)
+    boilerplate = [f"b{i}" for i in range(60)]
+    texts = []
+    for n in range(1000):
+        base = [f"f{n % 30 if n < 600 else n}.{i}" for i in range(90)] + boilerplate
+        for at in random.integers(0, len(base), int(random.integers(0, 6))):
+            base[at] = f"e{n}.{at}"
+        texts.append(" ".join(base))
+    texts += [texts[0]] * 50 + ["", "one"] * 5
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    root = components(range(len(texts)), alike)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(root.values())
+    got = {r.doc_id for r in simhash.dedup(frame).collect()}
+    assert want <= got  # nothing that is alone goes
+    assert len(texts) - len(got) >= 0.98 * (len(texts) - len(want))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common.fits, "__defaults__", (0,))
+    monkeypatch.setattr(common.small, "__defaults__", (0,))
+    assert {r.doc_id for r in simhash.dedup(frame).collect()} == got
+
+
+@pytest.mark.parametrize("n", [1, 1 << 20, 1 << 23, 1 << 27, 1 << 40])
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_rings_of_any_size_find_all_pairs(bits, n):
+    random = np.random.default_rng(bits)
+    ring = simhash.Ring.for_count(bits, n)
+    assert ring.equal * bits // len(ring.segments) == 0 and sum(w for _, w in ring.segments) == 64
+    for _ in range(200):
+        a = int(random.integers(0, 1 << 62))
+        apart = sum(1 << int(b) for b in random.choice(64, bits, replace=False))
+        starts = [i for i, mask in ring.keys() if not apart & mask]
+        m = len(ring.segments)
+        chain = lambda i, length: bin(apart & ring.mask(i, length)).count("1")
+        assert any(all(chain(i, k) <= k * bits // m for k in range(1, m + 1)) for i in starts), a
+
+
+def test_matched_splits_crowded_keys(spark, monkeypatch):
+    monkeypatch.setattr(common.fits, "__defaults__", (0,))
+    monkeypatch.setattr(common.small, "__defaults__", (0,))
+    keys = [None, *[7] * 500, *range(50), *[8] * 300, *[99] * 200]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    one = spark.createDataFrame([(k, f"v{k}") for k in range(60)], "k int, v string")
+    for how in ("inner", "left"):
+        met = common.matched(rows, one, ["k"], 20, how)
+        want = [(k, i, f"v{k}" if k is not None and k < 60 else None) for i, k in enumerate(keys)]
+        want = [w for w in want if how == "left" or w[2]]
+        assert sorted(map(tuple, met.collect()), key=str) == sorted(want, key=str)
+        salts = met._jdf.queryExecution().logical().toString().count("_salt")
+        assert salts and "_salt" not in met.columns
+
+
 def test_merges_against_brute_force():
     random = np.random.default_rng(5)
     for _ in range(20):
@@ -473,8 +529,29 @@ def test_code_switching(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").where("lang in ('en', 'fr')").orderBy("doc_id").collect()
     model = langid.fit([r.text for r in rows[20:]], [r.lang for r in rows[20:]])
     en, fr = (next(r.text for r in rows[:20] if r.lang == x and len(r.text) > 400).split()[:60] for x in ("en", "fr"))
-    chunks = [w.encode() for w in en + fr]
-    words, lanes = langid.Words.of(chunks), langid.Lanes(np.array([len(chunks)]))
-    marginal, _, _ = lanes.forward_backward(model.scores(words), model.transition, model.start)
-    labels = [model.labels[i] for i in marginal.argmax(axis=1)]
-    assert labels[:60].count("en") >= 57 and labels[60:].count("fr") >= 57
+    text = "\u00a7 " + " ".join(en) + "\n" + " ".join(fr) + " 42"
+    spans = model.spans(text)
+    right = sum(len(text[a:b].split()) for a, b, name, _ in spans if name == ("en" if b <= len(" ".join(en)) + 20 else "fr"))
+    assert right >= 110 and all(0.5 <= p <= 1 for *_, p in spans)
+    assert all(a < b <= c < d for (a, b, *_), (c, d, *_) in zip(spans, spans[1:], strict=False))
+    (label, score, certain), = model.label([text])
+    assert label in ("en", "fr") and score < 0.7 < certain
+    frame = spark.createDataFrame([(1, text), (2, None), (3, "42 \u00bd")], "doc_id long, text string")
+    found = langid.language_spans(frame, model).collect()
+    assert [(r.doc_id, r.start, r.end, r.lang) for r in found] == [(1, *x[:3]) for x in spans]
+    assert langid.Model.label(model, []) == [] and model.spans("") == []
+
+
+def test_texts_without_a_letter_are_undetermined(spark, sf):
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit_on(real)
+    texts = ["\u00bd", "\u00b2 42", "\u2460", "\u2167", "\u0301", "...", "1 2 3", " \n", "_", "\U0001f600"]
+    assert model.label(texts) == [("und", 0.0, 0.0)] * len(texts)
+    assert all(label != "und" for label, *_ in model.label(["a", "\u00bd b", "\u4e2d", "\u02b0"]))
+
+
+def test_labels_of_the_fit_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_LABELS", 2)
+    rows = [(i, f"wort{i % 7} ja" if i % 3 else f"word{i % 7} yes", f"l{i % 3}") for i in range(300)] + [(900, "rare", "x")]
+    model = langid.fit_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.labels) == 2 and "x" not in model.labels
