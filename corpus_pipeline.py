@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from coordspark.llm import decontam, langid, mixing, planes, simhash
-from coordspark.llm.common import new_path, table
+from coordspark.llm.common import delete, new_path, scratch, table
 from coordspark.llm.queries import END_ID, tokenizer_path
 
-#: A document goes if its language is undetermined or no language reaches this mean probability.
-MIN_LANGUAGE_SCORE = 0.4
+#: A document goes if its language is undetermined or its words' labels are less certain than this on average.
+MIN_CERTAINTY = 0.5
 #: Near copies: five-word shingles with a Jaccard similarity of this or more.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: The rarest source may be read this often for each time that the most frequent one is; none goes unread.
@@ -18,7 +18,7 @@ MAX_REPEATS = 1.25
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is determined."""
-    return langid.identified(docs, MIN_LANGUAGE_SCORE)
+    return langid.identified(docs, MIN_CERTAINTY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; gives what the last one returns."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; gives what the last one returns.
+
+    What a stage wrote on its way is deleted once its result is stored, and that result once the next one's is;
+    the token files, which are what the pipeline is for, and the last table stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
