@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import small, text_of, written
+from coordspark.llm.common import fits, text_of, written
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,6 @@ class Kind:
     strong: bool
     group: int  # whose length counts
     least: int
-    most: int = 1 << 30
 
 
 #: The strong kinds, in the order in which equal starts are listed, then the weak ones. A run of
@@ -37,35 +36,61 @@ KINDS = (
     Kind("access", r"AKIA[A-Z0-9]{16,}", "ident", True, 0, 20),
     Kind("hex", r"[0-9a-f]{24,}", "secret", True, 0, 24),
     Kind("ident", r"""(?i:\b(user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.@=-]+)""", "ident", False, 2, 3),
-    Kind("opaque", r"[A-Za-z0-9+/=_-]{32,}", "secret", False, 0, 32, 128),
+    Kind("opaque", r"[A-Za-z0-9+/=_-]{32,}", "secret", False, 0, 32),
     Kind("endpoint", r"""(?i:https?|ftp|jdbc:[a-z0-9]+|mongodb|postgres|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?""", "endpoint", False, 0, 10),
 )
 #: Characters by which an interval is widened.
 SCOPE = 400
 
 
+_SPAN = "struct<start:int,end:int,own:int>"
+
+
+def _placed(steps: Column, start: Column) -> Column:
+    """Spans of the steps (gap, len, own) one after another, the first gap from ``start``."""
+
+    def place(done: Column, x: Column) -> Column:
+        at = done["at"] + x["gap"]
+        span = F.struct(at.alias("start"), (at + x["len"]).alias("end"), x["own"].alias("own"))
+        return F.struct((at + x["len"]).alias("at"), F.array_append(done["spans"], span).alias("spans"))
+
+    none = F.array().cast(f"array<{_SPAN}>")
+    return F.aggregate(steps, F.struct(start.alias("at"), none.alias("spans")), place)["spans"]
+
+
 def found(kind: Kind, number: int, text: Column) -> Column:
     """The kind's spans in the text, an array of (start, end, kind number), in code points, end exclusive.
 
-    What lies between matches and the matches themselves give the positions. A text without a match is read
-    by the pattern once.
+    What lies between matches and the matches themselves give the positions. An array that grows is copied with
+    each step, so n steps are summed in blocks of root n: the blocks' starts first, then each block from its own.
+    A text without a match is read by the pattern once.
     """
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     sizes = matches if not kind.group else F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
     gaps = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches))
     lengths = F.zip_with(matches, sizes, lambda m, s: F.struct(F.length(m).alias("len"), F.length(s).alias("own")))
-    steps = F.zip_with(gaps, lengths, lambda g, n: F.struct(F.length(g).alias("gap"), n["len"].alias("len"), n["own"].alias("own")))
-    none = F.array().cast("array<struct<start:int,end:int,own:int>>")
+    whole = F.zip_with(gaps, lengths, lambda g, n: F.struct(F.length(g).alias("gap"), n["len"].alias("len"), n["own"].alias("own")))
 
-    def place(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        span = F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["own"].alias("own"))
-        return F.struct((start + x["len"]).alias("at"), F.array_append(done["spans"], span).alias("spans"))
+    def blocks_of(steps: Column) -> Column:
+        n = F.size(steps)
+        width = F.ceil(F.sqrt(n)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1, width), lambda i: F.slice(steps, i + 1, width))
+
+    def starts_of(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["len"]))
+        none = F.array(F.lit(0))
+        return F.aggregate(sums, none, lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+
+    def spans_of(blocks: Column) -> Column:
+        own = F.zip_with(blocks, F.slice(starts_of(blocks), F.lit(1), F.size(blocks)), _placed)
+        kept = F.filter(F.flatten(own), lambda s: s["own"] >= kind.least)
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(number).alias("kind")))
 
-    placed = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), place)["spans"]
-    kept = F.filter(placed, lambda s: s["own"].between(kind.least, kind.most))
-    spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(number).alias("kind")))
-    return F.when(F.rlike(text, F.lit(kind.pattern)), spans).otherwise(F.array().cast("array<struct<start:int,end:int,kind:int>>"))
+    # a one-element transform names a value, so that what follows reads it instead of making it again
+    named = F.transform(F.array(whole), lambda steps: blocks_of(steps))
+    spans = F.flatten(F.transform(named, spans_of))
+    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
+    return F.when(F.rlike(text, F.lit(kind.pattern)), spans).otherwise(none)
 
 
 def listed(spans: Column) -> Column:
@@ -103,9 +128,11 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, base, spans)``, a row for each input row.
 
     base holds the spans of strong kinds and spans those with the linked weak ones, each an array of (start,
-    end, kind number). Null counts as empty. Rows that repeat are each returned; other columns are ignored.
+    end, kind number). Null counts as empty, an empty text has no span. Texts of any length are read whole. Rows
+    that repeat are each returned; other columns, whatever their names, are ignored; no row gives none.
     """
-    arrays = docs.select("doc_id", text_of().alias("text")).select("doc_id", *[found(k, i, F.col("text")).alias(f"k{i}") for i, k in enumerate(KINDS)])
+    text = docs.select("doc_id", text_of().alias("text"))
+    arrays = text.select("doc_id", *[found(k, i, F.col("text")).alias(f"k{i}") for i, k in enumerate(KINDS)])
     hits = written(arrays.withColumn("row", F.monotonically_increasing_id()), "hits")
     n_of = {p: sum((F.size(f"k{i}") for i, k in enumerate(KINDS) if k.part == p), F.lit(0)) for p in ("secret", "ident")}
     n_weak = sum((F.size(f"k{i}") for i, k in enumerate(KINDS) if not k.strong), F.lit(0))
@@ -114,7 +141,9 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts = hits.where(may).select("row", F.explode(tagged).alias("p")).select("row", "p.*")
     weak = written(linked(parts, scope).groupBy("row").agg(F.collect_set("span").alias("weak")), "linked")
     base = F.concat(*[F.col(f"k{i}") for i, k in enumerate(KINDS) if k.strong])
-    return hits.join(small(weak, 400), "row", "left").select("doc_id", base.alias("base"), F.concat(base, F.coalesce("weak", F.array().cast("array<struct<start:int,end:int,kind:int>>"))).alias("spans"))
+    more = F.coalesce("weak", F.array().cast("array<struct<start:int,end:int,kind:int>>"))
+    met = hits.join(fits(weak, F.size("weak") * 40 + 64), "row", "left")
+    return met.select("doc_id", base.alias("base"), F.concat(base, more).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -128,7 +157,7 @@ def _sql() -> str:
     """The digest in DuckDB's SQL, from the same table of kinds."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     each = " union all ".join(
-        f"select id, {i} as k, {quoted(k.part)} as part, {str(k.strong).lower()} as strong, {k.least} as least, {k.most} as most, regexp_extract_all(text, {quoted(k.pattern)}, 0) as ms, regexp_extract_all(text, {quoted(k.pattern)}, {k.group}) as own, string_split_regex(text, {quoted(k.pattern)}) as gaps from t"
+        f"select id, {i} as k, {quoted(k.part)} as part, {str(k.strong).lower()} as strong, {k.least} as least, regexp_extract_all(text, {quoted(k.pattern)}, 0) as ms, regexp_extract_all(text, {quoted(k.pattern)}, {k.group}) as own, string_split_regex(text, {quoted(k.pattern)}) as gaps from t"
         for i, k in enumerate(KINDS)
     )
     strong = ", ".join(f"count(*) filter (k = {i}) as n_{k.name}" for i, k in enumerate(KINDS) if k.strong)
@@ -138,7 +167,7 @@ def _sql() -> str:
 with t as (select row_number() over () as id, doc_id, coalesce(text, '') as text from documents),
 m as ({each}),
 p as (select *, unnest(range(len(ms))) as i from m),
-q as (select id, k, part, strong, list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0) as s, length(ms[i + 1]) as n from p where length(own[i + 1]) between least and most),
+q as (select id, k, part, strong, list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0) as s, length(ms[i + 1]) as n from p where length(own[i + 1]) >= least),
 spans as (select id, k, part, strong, s::bigint as s, (s + n)::bigint as e from q),
 met as (select distinct w.id, w.k, w.s, w.e, w.part, o.part as other from spans w join spans o on w.id = o.id and not w.strong and o.part <> 'endpoint' and w.part <> o.part
         and o.s - w.e <= {SCOPE} and w.s - o.e <= {SCOPE} and (o.s >= w.e or w.s >= o.e)),

@@ -2,26 +2,27 @@
 by record, and assembled into one nested row per capture through their WARC-Concurrent-To identifiers.
 
 Archives are written by Spark's text writer, whose line separator is the record separator, so they land in any
-store that Spark writes to; a file is read whole and cut by Content-Length alone.
+store that Spark writes to. They are read by Spark's text reader with the same separator: a file of any size comes
+as a stream of pieces, and Content-Length alone tells which of them make up a record.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import new_path, small, text_of, written
+from coordspark.llm.common import matched, new_path, text_of, written
 
 CRLF, END = "\r\n", "\r\n\r\n"
 #: The alphabets of 32 digits that conv() and base32 use.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_BLANK = END.encode()
 RECORD_SCHEMA = "record_id string, kind string, concurrent_to array<string>, refers_to string, target_uri string, date string, digest string, payload_bytes long, payload binary, fields map<string,string>"
 
 
@@ -56,80 +57,157 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, path: str | Non
 
     Of pages with equal payloads (html in UTF-8, null as empty) of at least ``min_revisit_bytes`` bytes, the
     one with the largest page_id (null the smallest, then any one) is a response and the others are revisits
-    of it; smaller payloads are all responses. The number of pages that share a payload is not bounded.
+    of it; smaller payloads are all responses. The number of pages that share a payload is not bounded. Rows that
+    repeat are each captured; pages of any length are written whole; other columns, whatever their names, are
+    ignored; an empty table gives archives without a record.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     html = text_of("html")
-    keyed = written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), sha1_base32(html).alias("digest"), F.octet_length(html).cast("long").alias("n"), F.monotonically_increasing_id().alias("row")), "pages")
-    last = keyed.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("last"), F.count(F.lit(1)).alias("copies"))
-    shared = written(last.where("copies > 1").select("digest", F.col("last.row").alias("first_row")), "shared")
-    met = keyed.join(small(shared, 80), "digest", "left")
+    keyed = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.coalesce("url", F.lit("")).alias("url"),
+        html.alias("html"),
+        sha1_base32(html).alias("digest"),
+        F.sha2(html, 256).alias("same"),
+        F.octet_length(html).cast("long").alias("n"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    keyed = written(keyed, "pages")
+    last = keyed.where(F.col("n") >= min_revisit_bytes).groupBy("same")
+    last = last.agg(F.max(F.struct("page_id", "row")).alias("last"), F.count(F.lit(1)).alias("copies"))
+    shared = written(last.where("copies > 1").select("same", F.col("last.row").alias("first_row")), "shared")
+    met = matched(keyed, shared, ["same"], 112, "left")
 
     revisit = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row")) & (F.col("n") >= min_revisit_bytes)
     main, first = urn("response", F.col("row")), F.when(revisit, urn("response", F.col("first_row")))
     target, n = _line(F.col("url")), F.col("n").cast("string")
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), n, F.lit(END))
+    head = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "
+    http = F.concat(F.lit(head), n, F.lit(END))
     common = [("WARC-Target-URI", target), ("WARC-Date", date)]
-    response = _record([("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", main), *common, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Refers-To", first), ("WARC-Profile", F.when(revisit, PROFILE))], "application/http; msgtype=response", F.when(revisit, http).otherwise(F.concat(http, "html")))
-    request = _record([("WARC-Type", "request"), ("WARC-Record-ID", urn("request", F.col("row"))), *common, ("WARC-Concurrent-To", main)], "application/http; msgtype=request", F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1" + END)))
-    metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", urn("metadata", F.col("row"))), *common, ("WARC-Concurrent-To", urn("request", F.col("row")))], "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)))
+    kind = F.when(revisit, "revisit").otherwise("response")
+    digest = F.concat(F.lit("sha1:"), F.col("digest"))
+    about = [("WARC-Payload-Digest", digest), ("WARC-Refers-To", first), ("WARC-Profile", F.when(revisit, PROFILE))]
+    response = _record(
+        [("WARC-Type", kind), ("WARC-Record-ID", main), *common, *about],
+        "application/http; msgtype=response",
+        F.when(revisit, http).otherwise(F.concat(http, "html")),
+    )
+    asked = urn("request", F.col("row"))
+    request = _record(
+        [("WARC-Type", "request"), ("WARC-Record-ID", asked), *common, ("WARC-Concurrent-To", main)],
+        "application/http; msgtype=request",
+        F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1" + END)),
+    )
+    page = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
+    own = urn("metadata", F.col("row"))
+    metadata = _record(
+        [("WARC-Type", "metadata"), ("WARC-Record-ID", own), *common, ("WARC-Concurrent-To", asked)],
+        "application/warc-fields",
+        page,
+    )
     records = met.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * rows_per_file).text(path)
+    writer = records.write.option("lineSep", END).option("compression", "gzip")
+    writer.option("maxRecordsPerFile", 3 * rows_per_file).text(path)
     return path
 
 
-def parse(data: bytes, with_payload: bool) -> Iterator[tuple]:
-    """The records of an archive, as rows of ``RECORD_SCHEMA``."""
-    at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode("utf-8", "replace").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        pairs = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])]
-        names = dict(pairs)
-        body = data[head + 4 : head + 4 + int(names["content-length"])]
-        if len(body) < int(names["content-length"]):
-            raise ValueError(f"the record at byte {at} is cut short")
-        at = head + 4 + len(body)
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        kind, fields, payload = names["warc-type"], {}, None
-        size = digest = None
-        if kind in ("response", "revisit"):
-            http, _, payload = body.partition(b"\r\n\r\n")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split(CRLF)[1:])}
-            if kind == "response":
-                size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                if (said := names.get("warc-payload-digest", "sha1:" + digest).removeprefix("sha1:")) != digest:
-                    raise ValueError(f"payload of {names['warc-record-id']} has digest {digest}, not {said}")
-            else:
-                size, digest = int(fields["content-length"]), names["warc-payload-digest"].removeprefix("sha1:")
-        elif kind == "metadata":
-            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in body.decode("utf-8", "replace").split(CRLF)) if k}
-        yield names["warc-record-id"], kind, [v for k, v in pairs if k == "warc-concurrent-to"], names.get("warc-refers-to"), names.get("warc-target-uri"), names.get("warc-date"), digest, size, payload if with_payload and kind == "response" else None, fields
+def parse(pieces: Iterable[bytes], with_payload: bool) -> Iterator[tuple]:
+    """The records of an archive that comes cut at blank lines, as rows of ``RECORD_SCHEMA``.
+
+    Pieces are put together again until they hold a record by its ``Content-Length``; a cut may lie anywhere, since
+    a body that ends in a line break makes blank lines of its own. One record and one piece are held.
+    """
+    held = bytearray()
+    names: dict[str, str] = {}
+    pairs: list[tuple[str, str]] = []
+    for piece in pieces:
+        held += piece
+        held += _BLANK
+        while True:
+            if not pairs:
+                blank = len(held) - len(held.lstrip(b"\r\n"))  # between records
+                del held[:blank]
+                if (end := held.find(_BLANK)) < 0:
+                    break
+                lines = held[:end].decode("utf-8", "replace").split(CRLF)
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError(f"no record at {bytes(held[:40])!r}")
+                pairs = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])]
+                names = dict(pairs)
+                del held[: end + len(_BLANK)]
+            wanted = int(names["content-length"])
+            if len(held) < wanted + len(_BLANK):
+                break
+            if held[wanted : wanted + len(_BLANK)] != _BLANK:
+                raise ValueError(f"record {names['warc-record-id']} does not end where it says")
+            body = bytes(held[:wanted])
+            del held[: wanted + len(_BLANK)]
+            yield _parsed(names, pairs, body, with_payload)
+            pairs = []
+    if pairs:
+        raise ValueError(f"record {names['warc-record-id']} is cut short")
+
+
+def _fields(lines: str) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.split(CRLF)) if k}
+
+
+def _parsed(names: dict[str, str], pairs: list[tuple[str, str]], body: bytes, with_payload: bool) -> tuple:
+    kind, fields, payload, size, digest = names["warc-type"], {}, None, None, None
+    if kind in ("response", "revisit"):
+        http, _, payload = body.partition(b"\r\n\r\n")
+        fields = _fields(http.decode("latin-1").partition(CRLF)[2])
+        said = names.get("warc-payload-digest", "").removeprefix("sha1:")
+        if kind == "response":
+            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            if said not in ("", digest):
+                raise ValueError(f"payload of {names['warc-record-id']} has digest {digest}, not {said}")
+        else:
+            size, digest = int(fields["content-length"]), said
+    elif kind == "metadata":
+        fields = _fields(body.decode("utf-8", "replace"))
+    concurrent = [v for k, v in pairs if k == "warc-concurrent-to"]
+    known = (names.get(x) for x in ("warc-refers-to", "warc-target-uri", "warc-date"))
+    kept = payload if with_payload and kind == "response" else None
+    return names["warc-record-id"], kind, concurrent, *known, digest, size, kept, fields
+
+
+#: ``RECORD_SCHEMA`` for Arrow, and the bytes of records that are given out at a time.
+_ARROW = pa.schema([
+    ("record_id", pa.string()), ("kind", pa.string()), ("concurrent_to", pa.list_(pa.string())),
+    ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("digest", pa.string()),
+    ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string())),
+])
+_BATCH_BYTES = 8_000_000
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [list(c) for c in zip(*rows, strict=True)]
+    columns[-1] = [list(x.items()) for x in columns[-1]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Every record of the archives under ``path``, one row each (``RECORD_SCHEMA``)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    kinds = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string()))])
+    """Every record of the archives under ``path`` (``*.gz``), one row each (``RECORD_SCHEMA``).
+
+    A file is a stream for one task, however long it is; gzip files are not split, so records stay in order.
+    """
+    reader = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz")
+    pieces = reader.schema("value string").text(path).select(F.col("value").cast("binary").alias("piece"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
+        held, size = [], 0
+        for r in parse((piece for b in batches for piece in b.column(0).to_pylist()), with_payload):
+            held.append(r)
+            size += len(r[8] or b"") + 500
+            if size > _BATCH_BYTES:
+                yield _batch(held)
                 held, size = [], 0
-                for r in parse(gzip.decompress(content.as_py()), with_payload):
-                    held.append(r)
-                    size += len(r[8] or b"") + 500
-                    if size > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) for x in c] if f.name == "fields" else list(c), f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) for x in c] if f.name == "fields" else list(c), f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+        if held:
+            yield _batch(held)
 
-    return files.mapInArrow(cut, RECORD_SCHEMA)
+    return pieces.mapInArrow(cut, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -141,27 +219,38 @@ def assemble(records: DataFrame) -> DataFrame:
     captures of their own, with a null response.
     """
     body = [c for c in records.columns if c != "concurrent_to"]
-    named_all = written(records.select("record_id", "kind", "concurrent_to"), "record-ids")  # so that archives are read twice, not for each join
-    named = named_all.select("record_id", F.explode("concurrent_to").alias("other"))
-    edges = named.select("record_id", "other").unionAll(named.select(F.col("other").alias("record_id"), F.col("record_id").alias("other"))).distinct()
-    mains = named_all.where(F.col("kind").isin("response", "revisit")).select(F.col("record_id").alias("main")).distinct()
+    main_kinds = F.col("kind").isin("response", "revisit")
+    # so that archives are read twice, not for each join
+    ids = written(records.select("record_id", "kind", "concurrent_to"), "record-ids")
+    named = ids.select("record_id", F.explode("concurrent_to").alias("other"))
+    edges = named.unionAll(named.select(F.col("other").alias("record_id"), F.col("record_id").alias("other"))).distinct()
+    mains = ids.where(main_kinds).select(F.col("record_id").alias("main")).distinct()
     direct = edges.join(mains, edges.other == mains.main).groupBy("record_id").agg(F.min("main").alias("near"))
-    through = direct.join(mains, direct.record_id == mains.main, "left_anti").select(F.col("record_id").alias("via"), F.col("near").alias("by_way"))
+    through = direct.join(mains, direct.record_id == mains.main, "left_anti")
+    through = through.select(F.col("record_id").alias("via"), F.col("near").alias("by_way"))
     second = edges.join(through, edges.other == through.via).groupBy("record_id").agg(F.min("by_way").alias("far"))
-    own = F.when(F.col("kind").isin("response", "revisit"), F.col("record_id"))
-    placed = records.join(direct, "record_id", "left").join(second, "record_id", "left").withColumn("capture_id", F.coalesce(own, "near", "far", "record_id"))
+    placed = records.join(direct, "record_id", "left").join(second, "record_id", "left")
+    own = F.when(main_kinds, F.col("record_id"))
+    placed = placed.withColumn("capture_id", F.coalesce(own, "near", "far", "record_id"))
     whole = F.struct(*body)
-    is_main = F.col("kind").isin("response", "revisit")
-    grouped = placed.groupBy("capture_id").agg(F.first(F.when(is_main, whole), ignorenulls=True).alias("response"), F.collect_list(F.when(F.col("kind") == "request", whole)).alias("request"), F.collect_list(F.when(~is_main & (F.col("kind") != "request"), whole)).alias("metadata"))
-    return grouped
+    return placed.groupBy("capture_id").agg(
+        F.first(F.when(main_kinds, whole), ignorenulls=True).alias("response"),
+        F.collect_list(F.when(F.col("kind") == "request", whole)).alias("request"),
+        F.collect_list(F.when(~main_kinds & (F.col("kind") != "request"), whole)).alias("metadata"),
+    )
 
 
 def page_rows(captures: DataFrame) -> DataFrame:
     """Captures of ``write_archives`` to ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``."""
-    c = written(captures.select("capture_id", F.expr("try_cast(nullif(metadata[0].fields['page-id'], '') as bigint)").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("to_record")), "captures")
+    page = F.expr("try_cast(nullif(metadata[0].fields['page-id'], '') as bigint)").alias("page_id")
+    names = {"payload_bytes": "payload_bytes", "digest": "payload_digest", "kind": "record_type", "refers_to": "to_record"}
+    of_response = [F.col(f"response.{a}").alias(b) for a, b in names.items()]
+    c = written(captures.select("capture_id", page, *of_response), "captures")
     wanted = c.where("to_record is not null").select(F.col("to_record").alias("capture_id")).distinct()
-    firsts = written(c.join(wanted, "capture_id", "left_semi").select(F.col("capture_id").alias("to_record"), F.col("page_id").alias("refers_to")), "referred")
-    return c.join(small(firsts, 80), "to_record", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    firsts = c.join(wanted, "capture_id", "left_semi")
+    firsts = written(firsts.select(F.col("capture_id").alias("to_record"), F.col("page_id").alias("refers_to")), "referred")
+    met = matched(c, firsts, ["to_record"], 80, "left")
+    return met.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = r"""

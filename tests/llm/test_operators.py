@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from coordspark.llm import common, decontam, exact, langid, lines, mixing, planes, secrets, sharding, simhash, warc
 from coordspark.llm.components import connected
@@ -336,6 +338,35 @@ def test_warc(spark):
     assert warc.page_rows(warc.assemble(warc.read_records(spark, warc.write_archives(pages.where("false"))))).count() == 0
 
 
+def test_warc_pieces():
+    head = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d"
+    bodies = [b"", b"\r\n\r\n", b"x", b"a\r\n\r\nb", b"\r\n\r\n\r\n\r\n", b"WARC/1.1\r\n\r\n"]
+    data = b"".join(head % (i, len(b)) + b"\r\n\r\n" + b + b"\r\n\r\n" for i, b in enumerate(bodies))
+    pieces = data.split(b"\r\n\r\n")[:-1]  # a reader of lines gives none after the last separator
+    assert [r[0] for r in warc.parse(pieces, True)] == [f"<{i}>" for i in range(len(bodies))]
+    for wrong in (pieces[:-1], [*pieces[:6], *pieces[7:]], [b"HTTP/1.1 200 OK"]):
+        with pytest.raises(ValueError):
+            list(warc.parse(wrong, True))
+
+
+def test_warc_of_long_pages_and_clashing_columns(spark):
+    rows = [(1, "u", "x" * 3_000_000, "a"), (2, None, "y\r\n\r\n" * 200_000, "b"), (3, "u", "x" * 3_000_000, "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").withColumn("row", F.lit(1))
+    path = warc.write_archives(pages)
+    got = sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.page_rows(warc.assemble(warc.read_records(spark, path))).collect())
+    assert got == [(1, 3_000_000, 3), (2, 1_000_000, None), (3, 3_000_000, None)]
+    # an archive of several gzip members is one stream
+    import gzip
+
+    folder = common.new_path(spark, "members").removeprefix("file://")
+    os.makedirs(folder)
+    head = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    with open(f"{folder}/x.warc.gz", "wb") as out:
+        for i in range(5):
+            out.write(gzip.compress(head % i))
+    assert [r.record_id for r in warc.read_records(spark, "file://" + folder).collect()] == [f"<{i}>" for i in range(5)]
+
+
 def test_assembly_by_any_direction(spark):
     rows = [("r1", "response", [], None), ("q1", "request", ["r1"], None), ("m1", "metadata", ["q1"], None), ("r2", "response", ["q2"], None), ("q2", "request", [], None), ("q3", "request", [], None)]
     frame = spark.createDataFrame(rows, "record_id string, kind string, concurrent_to array<string>, refers_to string")
