@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import small, text_of, written
+from coordspark.llm.common import matched, text_of, written
 
 QUOTIENT_BITS = 8
 #: Fingerprints that a partition holds before it gives its filters out, and that a block is planned to hold.
@@ -37,7 +37,8 @@ class CountingQuotientFilter:
         return cls(bits, *np.unique(values.astype(np.uint64), return_counts=True))
 
     def merge(self, *others: CountingQuotientFilter) -> CountingQuotientFilter:
-        """Sorted runs of all filters; equal remainders of a quotient add their counts."""
+        """The sorted runs of all filters as one: the stable sort finds runs that are in order and merges them. Equal
+        remainders of a quotient add their counts."""
         values = np.concatenate([self.values, *(o.values for o in others)])
         counts = np.concatenate([self.counts, *(o.counts for o in others)])
         order = np.argsort(values, kind="stable")
@@ -124,23 +125,28 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, keep_id, group_size, kept, text_sha256)``, a row for each input row.
 
     Texts are equal when identical without white space ``[\\x20\\x09-\\x0D]``; null and empty texts are equal.
-    The row with the most code points in its original text stays, then the one with the smallest doc_id (a
-    null doc_id comes last), then any one of rows that repeat both. Other columns are ignored.
+    The row with the most code points in its original text stays, then the one with the smallest doc_id (of any
+    type that can be ordered; a null one comes last), then any one of rows that repeat both. Texts of any length are
+    read whole. Other columns, whatever their names, are ignored. An empty table gives no row.
     """
-    text = text_of()
-    norm = normalised()
-    rows = written(docs.select("doc_id", F.length(text).cast("long").alias("points"), norm.alias("norm")).select("doc_id", "points", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256")).withColumn("row", F.monotonically_increasing_id()), "texts")
+    text, norm = text_of(), normalised()
+    row = docs.select("doc_id", F.length(text).cast("long").alias("points"), norm.alias("norm"))
+    row = row.select("doc_id", "points", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"))
+    rows = written(row.withColumn("row", F.monotonically_increasing_id()), "texts")
     total, parts = rows.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block_bits = max(1, (max(total // BLOCK_HELD, 2 * parts) - 1).bit_length())
-    repeats = written(repeated_fingerprints(rows, block_bits), "repeats")
+    repeats = written(repeated_fingerprints(rows, block_bits).select("fp"), "repeats")
 
-    suspects = docs.select(norm.alias("norm")).withColumn("fp", F.xxhash64("norm")).join(small(repeats.select("fp"), 16), "fp", "left_semi")
+    hashed = docs.select(norm.alias("norm")).withColumn("fp", F.xxhash64("norm"))
+    suspects = matched(hashed, repeats, ["fp"], 16, "left_semi", counted=rows)
     by_bytes = suspects.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     verified = written(by_bytes.select(F.sha2("norm", 256).alias("text_sha256"), "group_size"), "groups")
-    first = F.max(F.struct("points", F.bitwise_not("doc_id").alias("least"), F.bitwise_not("row").alias("row"))).alias("first")
-    keepers = written(rows.join(small(verified, 100), "text_sha256").groupBy("text_sha256", "group_size").agg(first).select("text_sha256", "group_size", F.bitwise_not("first.least").alias("keep_id"), F.bitwise_not("first.row").alias("keep_row")), "keepers")
+    first = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("absent"), "doc_id", "row"))
+    of_group = matched(rows, verified, ["text_sha256"], 100).groupBy("text_sha256", "group_size").agg(first.alias("first"))
+    names = [F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")]
+    keepers = written(of_group.select("text_sha256", "group_size", *names), "keepers")
     alone = F.col("group_size").isNull()
-    return rows.join(small(keepers, 120), "text_sha256", "left").select(
+    return matched(rows, keepers, ["text_sha256"], 120, "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
