@@ -94,8 +94,9 @@ def fits(df: DataFrame, width: int | Column, limit: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if size <= limit else df
 
 
-def matched(rows: DataFrame, one: DataFrame, on: list[str], width: int | Column, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``one``, which holds a row for each key at most; both should be written tables.
+def matched(rows: DataFrame, one: DataFrame, on: list[str], width: int | Column, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to ``one``, which holds a row for each key at most; both should be written tables. Where
+    ``rows`` is dear to make, ``counted`` may be a written table with the same keys.
 
     A key of ``rows`` may hold any part of them. ``one`` is broadcast if it ``fits``. Else keys that hold more than
     an even task's share of ``rows`` are split by a salt into so many even shares, and their rows of ``one``
@@ -104,15 +105,19 @@ def matched(rows: DataFrame, one: DataFrame, on: list[str], width: int | Column,
     if (sent := fits(one, width)) is not one:
         return rows.join(sent, on, how)
     spark = rows.sparkSession
-    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count()
+    counted = rows if counted is None else counted
+    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), counted.count()
     share = F.ceil(F.count(F.lit(1)) * parts / F.lit(max(total, 1))).cast("int").alias("_shares")
-    crowded = rows.groupBy(*on).agg(share).where("_shares > 1")
+    crowded = counted.groupBy(*on).agg(share).where("_shares > 1")
     keys = crowded.collect()  # fewer than parts
     if not keys:
         return rows.join(one, on, how)
     hot = F.broadcast(spark.createDataFrame(keys, crowded.schema))
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_shares")), F.lit(0)).cast("int")
     salted = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_shares")
+    if how == "left_semi":
+        one = one.select(*on)
+        how = "inner"
     each = F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))
     repeated = one.join(hot, on, "left").withColumn("_salt", each).drop("_shares")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

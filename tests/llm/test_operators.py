@@ -268,6 +268,49 @@ def test_slot_map_edits_are_few():
     assert all(wider.shard_of[u] == 16 for u in weight if wider.shard_of[u] != second.shard_of[u])
 
 
+def test_a_stored_slot_map_is_edited(spark):
+    path = common.new_path(spark, "map")
+    rows = [(i, "x" * (50 + i % 90)) for i in range(4000)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first = {r.doc_id: r for r in sharding.shard_documents(frame(rows), 8, 256, path).collect()}
+    assert {r.map_version for r in first.values()} == {2}
+    grown = rows + [(10_000 + i, "y" * 300) for i in range(400)]
+    second = {r.doc_id: r for r in sharding.shard_documents(frame(grown), 8, 256, path, stored=True).collect()}
+    assert {r.map_version for r in second.values()} == {3}
+    moved = {r.virtual_slot for i, r in first.items() if second[i].shard != r.shard}
+    assert len(moved) < 40
+    edits = spark.read.parquet(f"{path}/edits").where("version = 3").collect()
+    assert {e.slot for e in edits} >= moved
+    loads = Counter()
+    for r in second.values():
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) - min(loads.values()) < 3000
+    wider = {r.doc_id: r for r in sharding.shard_documents(frame(grown), 9, 256, path, stored=True).collect()}
+    assert all(r.shard == 8 for i, r in wider.items() if r.shard != second[i].shard) and any(r.shard == 8 for r in wider.values())
+    # a slot that grows hot is split where it was, and all rows are placed independently of how they were read
+    crowd = sharding.shard_documents(frame(grown + [(1, "z" * 200)] * 6000), 9, 256, path, stored=True).collect()
+    loads = Counter()
+    for r in crowd:
+        loads[r.shard] += r["size"]
+    assert len(crowd) == len(grown) + 6000 and max(loads.values()) < 1.2 * min(loads.values())
+    assert map_versions(spark, path) == [1, 2, 3, 4, 5]
+
+
+def map_versions(spark, path):
+    return sorted(r[0] for r in spark.read.parquet(f"{path}/map").select("version").distinct().collect())
+
+
+def test_exact_groups_of_string_ids_and_crowds(spark, monkeypatch):
+    monkeypatch.setattr(common.fits, "__defaults__", (0,))
+    monkeypatch.setattr(common.small, "__defaults__", (0,))
+    rows = [(f"d{i:03}", "a  b" if i == 40 else "a b" if i < 120 else f"t{i}") for i in range(200)] + [(None, "t150"), ("d151", "t151")]
+    got = exact.exact_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter(
+        (i, "d040" if t.startswith("a") else t.replace("t", "d"), 120 if t.startswith("a") else 2 if t in ("t150", "t151") else 1) for i, t in rows
+    )
+    assert sum(r.kept for r in got) == 81
+
+
 def test_hot_slot_is_split(spark):
     rows = spark.createDataFrame([(7, "x" * 9000)] * 300 + [(i, "y" * 500) for i in range(600)], "doc_id long, text string")
     loads = [r[1] for r in sharding.shard_documents(rows, shards=4).groupBy("shard").sum("size").collect()]
