@@ -527,13 +527,92 @@ def test_lines(spark, docs, none):
     for i in range(2, 6):
         (r,) = got[i]
         assert r.removed_chunks > 0 and f"own {i}\n" in r.text and r.text.endswith(f"end {i * 7}\n")
-        assert r.removed_bytes <= len(rows[i - 1][1]) - len(r.text) <= r.removed_bytes + r.removed_chunks
-    assert len(got[30]) == 2 and got[30][0] == got[30][1]
-    whole = {(r.doc_id, r.text) for r in lines.dedup_lines(docs, divisor=1_000_003).collect()}
-    assert whole == {(i, t) for i, t in TEXTS}
+        assert r.text == f"own {i}\nfirst {i}\nlast {i}\nend {i * 7}\n"  # the passage whole, and nothing else
+        assert r.removed_bytes == len(rows[i - 1][1]) - len(r.text) == len(block) + 1 and r.removed_lines == 12
+    assert len(got[30]) == 2 and got[30][0] == got[30][1] and got[30][0].text == block.split("\n")[0]
+    assert {(r.doc_id, r.text) for r in lines.dedup_lines(docs).collect()} == set(TEXTS)
     assert lines.dedup_lines(none).count() == 0
 
 
+def lines_left(rows):
+    """The rule of ``dedup_lines`` stated again, for distinct doc_ids."""
+    hashed = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:7], 16)
+    cut = {}
+    for i, text in sorted(rows):
+        ls = text.split("\n")
+        h = [hashed(x) for x in ls]
+        parts, at = [], 0
+        for k in range(len(ls)):
+            if k == len(ls) - 1 or 0 < k < len(ls) - 2 and h[k] < min(h[k - 1], h[k + 1]):
+                parts.append(ls[at : k + 1])
+                at = k + 1
+        cut[i] = parts
+    places = defaultdict(list)
+    for i, parts in cut.items():
+        for n, part in enumerate(parts):
+            if len(part) > 1:
+                places[tuple(part)].append((i, n))
+    proven = {p: c[0] for p, c in places.items() if len(c) > 1}
+    out = {}
+    for i, parts in cut.items():
+        state = [None if tuple(p) not in proven else proven[tuple(p)] != (i, n) for n, p in enumerate(parts)]
+        kept, n = [], 0
+        while n < len(parts):
+            if state[n] is not None:
+                kept += [] if state[n] else parts[n]
+                n += 1
+                continue
+            end = n
+            while end < len(parts) and state[end] is None:
+                end += 1
+            own, a, z = [x for p in parts[n:end] for x in p], 0, 0
+            if n and state[n - 1]:
+                d, m = proven[tuple(parts[n - 1])]
+                other = cut[d][m + 1] if m + 1 < len(cut[d]) else []
+                while a < min(len(own), len(other)) and own[a] == other[a]:
+                    a += 1
+            if end < len(parts) and state[end]:
+                d, m = proven[tuple(parts[end])]
+                other = cut[d][m - 1] if m else []
+                while z < min(len(own), len(other)) and own[-1 - z] == other[-1 - z]:
+                    z += 1
+            kept += own[a : max(a, len(own) - z)]
+            n = end
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_lines_against_brute_force(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    passages = {n: [[f"p{n}.{k}.{i}" for i in range(n)] for k in range(20)] for n in (3, 4, 5, 6, 8, 12, 20)}
+    rows = []
+    for d in range(400):
+        ls = [f"own {d} {i}" for i in range(int(random.integers(0, 9)))]
+        for _ in range(int(random.integers(0, 3))):
+            ps = passages[list(passages)[int(random.integers(7))]]
+            ls += ps[int(random.integers(len(ps)))] + [f"mid {d} {i}" for i in range(int(random.integers(0, 4)))]
+        rows.append((d, "\n".join(ls + ["the same end", "", "of each"][: int(random.integers(0, 4))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("clash"))
+    want = lines_left(rows)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(frame).collect()} == want
+    monkeypatch.setattr(common.fits, "__defaults__", (0,))
+    monkeypatch.setattr(common.small, "__defaults__", (0,))
+    assert {r.doc_id: r.text for r in lines.dedup_lines(frame).collect()} == want
+
+
+@pytest.mark.parametrize("n, least", [(5, 0.5), (6, 0.7), (8, 0.9), (12, 0.98), (20, 0.99)])
+def test_share_of_repeated_lines_that_goes(n, least):
+    """A passage of n lines in two documents that are otherwise different; the figures of the README."""
+    rows = []
+    for k in range(400):
+        for d in range(2):
+            own = [f"{k}.{d}.{i}" for i in range(24)]
+            rows.append((2 * k + d, "\n".join(own[: 7 + k % 5] + [f"p{n}.{k}.{i}" for i in range(n)] + own[12:])))
+    left = lines_left(rows)
+    gone = sum(t.count("\n") - left[i].count("\n") for i, t in rows)
+    assert gone >= least * 400 * n and all(left[i].startswith(t.split("\n")[0]) for i, t in rows)
+
+
 def test_chunk_borders_resist_shifts(spark):
     text = "\n".join(f"line {i * i}" for i in range(300))
     frame = spark.createDataFrame([(1, text), (2, "new first line\n" + text)], "doc_id long, text string")
