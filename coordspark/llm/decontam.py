@@ -1,29 +1,39 @@
-"""Benchmark decontamination: n-gram seeds join passages to test items, alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, alignment scores them.
 
-One scan of the corpus maps words onto the benchmark's vocabulary and gives out, for each text and item that
-share a seed, the words around the seeds. A passage is aligned if it has so many of the item's words, in whatever
-order, that its score could suffice; this drops what shares common phrases only, and nothing that counts.
+One scan of the corpus hashes words and keeps, of each text, the regions around n-grams that occur in the benchmark.
+How often each n-gram was met tells which of an item's seeds are rare; regions and items meet on those in a join.
+A passage is aligned if it has so many of the item's words, in whatever order, that its score could suffice.
 Smith-Waterman over words (match 1, mismatch and gap -1) then scores the passage; its share of the item's length
-is the score, so that edited and partly reworded copies count. The benchmark is a stated query set, taken in blocks of a bounded size.
+is the score, so that edited and partly reworded copies count.
+
+An item of L words leaves out its ``L * (1.5 * min_score - 0.5) - 3`` most frequent seeds. A passage with e changed
+words that scores ``min_score`` holds more trigrams of the item than that, since e is at most
+``L * (1 - min_score) / 2`` and each takes three; so for items of twelve words or more, at a score of a half, only a
+passage with words put in after every second or third of its words can score so and be missed. Shorter items may
+be missed where they are edited. The benchmark is a stated query set, taken in blocks of a bounded size.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import Shared, give_back, small, text_of, written
+from coordspark.llm.common import Shared, give_back, matched, pieces, small, text_of, written
 
-#: Words of benchmark text that a block holds (its vocabulary and seeds go to every task).
-BLOCK_WORDS = 200_000
-#: Words taken on either side of where an item is expected.
-SLACK = 8
+#: Words of benchmark text that a block holds (16 bytes for each go to every task).
+BLOCK_WORDS = 1_000_000
+#: Characters of scripts that write no blanks between words; each counts as a word: Thai to Myanmar, Khmer, kana,
+#: CJK ideographs and their extensions.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def plain(chunk: str) -> str:
@@ -31,101 +41,88 @@ def plain(chunk: str) -> str:
     return "".join(c for c in chunk.lower() if c.isalnum())
 
 
-class Vocabulary(dict):
-    """UTF-8 chunk to word number: 0 is a word the items lack, -1 no word at all. Bounded like a cache."""
+def chunks_of(text: str) -> list[str]:
+    """What stands between any white space, and each character of a script without blanks."""
+    return (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
+
+
+class Words(dict):
+    """Chunk to the signed 64-bit hash of its plain word, 0 for none. Bounded like a cache."""
 
-    def __init__(self, numbers: dict[str, int], limit: int = 200_000):
-        self.numbers, self.limit = numbers, limit
+    def __init__(self, limit: int = 200_000):
+        self.limit = limit
 
-    def __missing__(self, chunk: bytes) -> int:
+    def __missing__(self, chunk: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        word = plain(chunk.decode("utf-8", "replace"))
-        number = self[chunk] = self.numbers.get(word, 0) if word else -1
+        word = plain(chunk).encode("utf-8", "replace")
+        number = self[chunk] = (xxhash.xxh64_intdigest(word) or 1) - (1 << 63) or 1 if word else 0
         return number
 
-    def read(self, text: str) -> np.ndarray:
-        chunks = text.encode("utf-8", "replace").split()
-        found = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        return found[found >= 0]
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts in a row, and the place of each one's text."""
+        chunks = [chunks_of(t) for t in texts]
+        lengths = [len(c) for c in chunks]
+        flat = np.fromiter((self[c] for own in chunks for c in own), np.int64, sum(lengths))
+        return flat[flat != 0], np.repeat(np.arange(len(texts)), lengths)[flat != 0]
+
+
+def gram_keys(w: np.ndarray, words: int) -> np.ndarray:
+    """A 64-bit key of each run of ``words`` words; the alignment settles the rare case of two runs with one key."""
+    n = max(0, len(w) - words + 1)
+    key = np.full(n, words, np.uint64)
+    for i in range(words):
+        key = (key ^ w[i : i + n].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 @dataclass
-class Items:
-    """A block of test items as word numbers, by their place in the block, with their n-gram seeds."""
+class Seeds:
+    """The n-grams of a block of items: distinct keys, ascending, and the words that a region needs on either side.
+
+    ``maybe`` has a bit for each low end of a key, so that most n-grams of a text are turned away by one look.
+    """
 
     words: int
-    ids: list[int | None]
-    numbers: dict[str, int]
-    items: dict[int, np.ndarray]
-    seeds: np.ndarray  # ascending keys
-    of_seed: np.ndarray  # seed number of each (seed, item, offset), ascending
-    item: np.ndarray
-    offset: np.ndarray
+    keys: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    maybe: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, str]], words: int) -> Items:
-        numbers: dict[str, int] = {}
-        items = {}
-        for i, (_, text) in enumerate(rows):
-            w = [p for c in text.split() if (p := plain(c))]
-            if len(w) >= words:
-                items[i] = np.array([numbers.setdefault(x, len(numbers) + 1) for x in w], np.int64)
-        keys, item, offset = [], [], []
-        for i, w in items.items():
-            k = cls.keys(w, words)
-            keys.append(k)
-            item.append(np.full(len(k), i, np.int64))
-            offset.append(np.arange(len(k)))
-        flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        seeds, of_seed = np.unique(flat, return_inverse=True)
-        order = np.argsort(of_seed, kind="stable")
-        join = lambda x: np.concatenate(x)[order] if x else np.empty(0, np.int64)
-        return cls(words, [i for i, _ in rows], numbers, items, seeds, of_seed[order], join(item), join(offset))
-
-    @staticmethod
-    def keys(w: np.ndarray, words: int) -> np.ndarray:
-        """A 64-bit key of each n-gram; the alignment settles the rare case of two n-grams with one key."""
-        n = max(0, len(w) - words + 1)
-        key = np.zeros(n, np.uint64)
-        for i in range(words):
-            key = (key ^ w[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        return key
-
-    def passages(self, w: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(item's place, start, words) of each stretch of a text that shares seeds with an item."""
-        n = len(w) - self.words + 1
-        if n < 1 or not len(self.seeds):
-            return
-        known = w > 0
-        whole = known[:n].copy()
-        for i in range(1, self.words):
-            whole &= known[i : i + n]
-        at = np.flatnonzero(whole)
+    def of(cls, table: pd.DataFrame, words: int) -> Seeds:
+        """``table(key, item, offset, length, slack)`` with a row for each n-gram of each item."""
+        reach = table.assign(left=table["offset"] + table["slack"], right=table["length"] - table["offset"] + table["slack"])
+        most = reach.groupby("key")[["left", "right"]].max()
+        keys = most.index.to_numpy(np.int64)
+        bits = max(16, len(keys).bit_length() + 4)
+        maybe = np.zeros(1 << bits, bool)
+        maybe[keys & ((1 << bits) - 1)] = True
+        return cls(words, keys, most["left"].to_numpy(np.int32), most["right"].to_numpy(np.int32), maybe)
+
+    def met(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``key`` that are seeds, and which seeds they are."""
+        at = np.flatnonzero(self.maybe[key & (len(self.maybe) - 1)])
+        seed = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+        known = self.keys[seed] == key[at]
+        return at[known], seed[known]
+
+    def regions(self, w: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, words, places of seeds, their keys) of each stretch of a text around seeds.
+
+        A text of fewer words than a seed has is a seed by itself, and meets items that are the same.
+        """
+        at, seed = self.met(gram_keys(w, min(len(w), self.words)))
         if not len(at):
             return
-        keys = np.zeros(len(at), np.uint64)
-        for i in range(self.words):
-            keys = (keys ^ w[at + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            keys ^= keys >> np.uint64(29)
-        seed = np.minimum(np.searchsorted(self.seeds, keys), len(self.seeds) - 1)
-        met = self.seeds[seed] == keys
-        at, seed = at[met], seed[met]
-        if not len(at):
-            return
-        first, last = np.searchsorted(self.of_seed, seed, "left"), np.searchsorted(self.of_seed, seed, "right")
-        reps = last - first
-        where = np.repeat(first - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-        item, place = self.item[where], np.repeat(at, reps) - self.offset[where]
-        order = np.lexsort((place, item))
-        item, place = item[order], place[order]
-        size = np.array([len(self.items[i]) for i in item])
-        new = np.r_[True, (item[1:] != item[:-1]) | (place[1:] - SLACK > place[:-1] + size[:-1] + SLACK)]
-        cuts = np.flatnonzero(new)
-        for a, b in zip(cuts, [*cuts[1:], len(item)], strict=True):
-            start = max(0, place[a] - SLACK)
-            yield int(item[a]), int(start), w[start : max(place[b - 1], 0) + size[a] + SLACK]
+        low, high = np.maximum(at - self.left[seed], 0), np.minimum(at + self.right[seed], len(w))
+        order = np.argsort(low, kind="stable")
+        ends = np.maximum.accumulate(high[order])
+        cuts = np.flatnonzero(np.r_[True, low[order][1:] > ends[:-1]])
+        for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            own = order[a:b]
+            yield int(low[own[0]]), w[low[own[0]] : ends[b - 1]], at[own], self.keys[seed[own]]
 
 
 def shared_words(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
@@ -163,7 +160,7 @@ def smith_waterman(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of about ``BLOCK_WORDS`` words."""
-    known = benchmark.where("text is not null").select("item_id", "text")
+    known = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = known.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = -(-total // BLOCK_WORDS) or 1
     for i in range(n):
@@ -171,56 +168,142 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield [(r["item_id"], r["text"]) for r in own.collect()]
 
 
+def seed_table(items: list[np.ndarray], words: int, min_score: float) -> pd.DataFrame:
+    """``(key, item, offset, length, slack, dropped)``: a row for each n-gram of each item.
+
+    slack is how many words a copy may have that the item lacks, dropped how many of the item's seeds, the most
+    frequent ones, are left out. An item of fewer than ``words`` words is one seed.
+    """
+    parts = []
+    for i, w in enumerate(items):
+        if not len(w):
+            continue
+        key, slack = gram_keys(w, min(len(w), words)), math.ceil(len(w) * (1 - min_score))
+        dropped = max(0, math.floor(len(w) * (1.5 * min_score - 0.5)) - 3)
+        columns = {"item": i, "offset": np.arange(len(key)), "length": len(w), "slack": slack, "dropped": dropped}
+        parts.append(pd.DataFrame({"key": key} | columns))
+    names = ["key", "item", "offset", "length", "slack", "dropped"]
+    return pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame({n: np.empty(0, np.int64) for n in names})
+
+
+def _regions(docs: DataFrame, seeds: Seeds) -> DataFrame:
+    """A written table ``(region, doc_id, version, start, words, hits)`` of the texts' regions around seeds."""
+    shared = Shared(docs.sparkSession, seeds)  # BLOCK_WORDS bounds it
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, words = shared.value, Words()
+        hit = pa.struct([("at", pa.int64()), ("key", pa.int64())])
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for first, last in pieces(texts):
+                flat, owner = words.read(texts[first:last])
+                ends = np.searchsorted(owner, np.arange(last - first + 1))
+                for i in range(last - first):
+                    for start, w, at, key in known.regions(flat[ends[i] : ends[i + 1]]):
+                        hits = [{"at": a, "key": k} for a, k in zip(at.tolist(), key.tolist(), strict=True)]
+                        row = (b.column(0)[first + i].as_py(), b.column(1)[first + i].as_py(), start, w, hits)
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(hit)]
+            names = ["doc_id", "version", "start", "words", "hits"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+        words.clear()
+        give_back()
+
+    doc = F.col("doc_id").cast("string").alias("doc_id")  # Arrow and pandas would make a float of a null among longs
+    texts = docs.select(doc, F.xxhash64("text").alias("version"), text_of().alias("text"))
+    schema = "doc_id string, version long, start long, words array<long>, hits array<struct<at:long,key:long>>"
+    found = texts.mapInArrow(look, schema)
+    return written(found.withColumn("region", F.monotonically_increasing_id()), "regions")
+
+
+def _rare(spark: SparkSession, table: pd.DataFrame, hits: DataFrame) -> DataFrame:
+    """A written table ``(key, places)`` with an array of (item, offset): the items' seeds but for the most frequent.
+
+    Of seeds that are met equally often those with the smaller key are left out first.
+    """
+    kinds = "key long, item long, offset long, length long, slack long, dropped long"
+    seeds = written(spark.createDataFrame(table, kinds), "seeds")
+    counts = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    met = seeds.join(written(counts, "counts"), "key")  # what is never met would rank last and join nothing
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("n"), "key", "offset"))
+    kept = met.withColumn("rank", rank).where("rank > dropped")
+    by_key = kept.groupBy("key").agg(F.collect_list(F.struct("item", "offset", "length", "slack")).alias("places"))
+    return written(by_key, "rare")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_score: float = 0.5) -> DataFrame:
     """``docs(doc_id, text)`` and ``benchmark(item_id, text)`` to ``(doc_id, version, item_id, score, passages)``.
 
     A row for each document and item whose best passage scores at least ``min_score``; version is a hash of
     the text, score the best score over the item's words and passages how many reach ``min_score``. Words
-    ignore case and punctuation. Null or empty texts and items of fewer than ``words`` words match nothing.
-    Rows that repeat doc_id and text give one row, as do items that repeat an item_id. Null ids stay null.
+    ignore case and punctuation, and stand between any white space; of scripts without blanks each character is one.
+    An item of fewer than ``words`` words is found in texts that are nothing else. Null or empty texts and items
+    match nothing. Rows that repeat doc_id and text give one row, as do items that repeat an item_id. Null ids stay
+    null; ids are integers. Texts of any length are read whole; other columns, whatever their names, are ignored;
+    an empty table on either side gives no row.
     """
     spark = docs.sparkSession
     found = None
     for rows in _blocks(benchmark):
-        items = Items.of(rows, words)
-        shared = Shared(spark, items)  # BLOCK_WORDS bounds it
-
-        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            vocabulary = Vocabulary(block.numbers)
-            for b in batches:
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, version, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                    for p in block.passages(vocabulary.read(text.as_py())):
-                        for column, value in zip(out, (doc_id.as_py(), version.as_py(), *p), strict=True):
-                            column.append(value)
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "version", "item", "start", "passage"])
-            vocabulary.clear()
-            give_back()
-
-        texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("version"), text_of().alias("text"))
-        passages = written(texts.mapInArrow(look, "doc_id string, version long, item long, start long, passage array<long>"), "passages")
-
-        def align(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for i, g in f.groupby("item"):
-                    item = shared.value.items[i]
-                    could = [shared_words(item, list(g["passage"].iloc[at : at + 256])) / len(item) >= min_score for at in range(0, len(g), 256)]
-                    g = g[np.concatenate(could)]
-                    order = np.argsort(g["passage"].str.len().to_numpy(), kind="stable")
-                    for at in range(0, len(order), 256):  # of like lengths
-                        part = g.iloc[order[at : at + 256]]
-                        best = smith_waterman(item, list(part["passage"]))
-                        known = pd.array([shared.value.ids[i]] * len(part), dtype="Int64")
-                        yield part.assign(item_id=known, score=best / len(item))[["doc_id", "version", "item_id", "score"]]
-
-        scored = passages.mapInPandas(align, "doc_id string, version long, item_id long, score double").where(F.col("score") >= min_score)
-        found = scored if found is None else found.unionAll(scored)
-    return found.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("doc_id", "version", "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("passages"))
+        flat, owner = Words().read([text for _, text in rows])
+        items = np.split(flat, np.searchsorted(owner, np.arange(1, len(rows)))) if rows else []
+        table = seed_table(items, words, min_score)
+        regions = _regions(docs, Seeds.of(table, words)) if len(table) else None
+        if regions is not None:
+            hits = written(regions.select("region", F.explode("hits").alias("h")).select("region", "h.at", "h.key"), "hits")
+            rare = _rare(spark, table, hits)
+            scored = _scored(spark, regions, hits, rare, items, [i for i, _ in rows], min_score)
+            found = scored if found is None else found.unionAll(scored)
+    if found is None:
+        found = spark.createDataFrame([], "doc_id string, version long, item_id long, score double")
+    best = found.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("doc_id", "version", "item_id")
+    return best.agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("passages"))
+
+
+def _scored(spark: SparkSession, regions: DataFrame, hits: DataFrame, rare: DataFrame, items: list[np.ndarray], ids: list[int | None], min_score: float) -> DataFrame:
+    """``(doc_id, version, item_id, score)`` of each passage that reaches ``min_score``."""
+    shared = Shared(spark, (items, ids))  # BLOCK_WORDS bounds it
+
+    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, names = shared.value
+        for f in frames:
+            for i, g in f.groupby("item"):
+                item, slack = known[i], int(g["slack"].iloc[0])
+                rows, passages = [], []
+                for n, (places, low, w) in enumerate(zip(g["places"], g["low"], g["words"], strict=True)):
+                    starts, ends = places - slack - low, places + len(item) + slack - low
+                    cuts = np.flatnonzero(np.r_[True, starts[1:] > ends[:-1]])
+                    for a, b in zip(cuts, [*cuts[1:], len(places)], strict=True):
+                        rows.append(n)
+                        passages.append(w[max(starts[a], 0) : ends[b - 1]])
+                could = [shared_words(item, passages[at : at + 256]) >= min_score * len(item) for at in range(0, len(passages), 256)]
+                left = np.flatnonzero(np.concatenate(could))
+                left = left[np.argsort([len(passages[k]) for k in left], kind="stable")]
+                for at in range(0, len(left), 256):  # of like lengths
+                    part = left[at : at + 256]
+                    best = smith_waterman(item, [passages[k] for k in part]) / len(item)
+                    of_row = g.iloc[[rows[k] for k in part]]
+                    item_id = pd.array([names[i]] * len(part), dtype="Int64")
+                    yield of_row.assign(item_id=item_id, score=best)[["doc_id", "version", "item_id", "score"]]
+
+    met = matched(hits, rare, ["key"], F.size("places") * 40 + 24)
+    met = met.select("region", "at", F.explode("places").alias("p")).select("region", "at", "p.*")
+    near = met.groupBy("region", "item", "length", "slack").agg(F.array_sort(F.collect_set(F.col("at") - F.col("offset"))).alias("places"))
+    first, last = F.col("places")[0] - F.col("slack"), F.element_at("places", -1) + F.col("length") + F.col("slack")
+    joined = near.join(regions.drop("hits"), "region").withColumn("low", F.greatest(first, F.col("start")))
+    own = F.slice("words", (F.col("low") - F.col("start") + 1).cast("int"), F.greatest(last - F.col("low"), F.lit(0)).cast("int"))
+    pairs = joined.select("doc_id", "version", "item", "slack", "places", "low", own.alias("words"))
+    scored = pairs.mapInPandas(align, "doc_id string, version long, item_id long, score double")
+    return scored.where(F.col("score") >= min_score)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with their columns. Null and empty texts stay."""
-    bad = small(written(contaminated(docs, benchmark, words, min_score).select(F.col("doc_id").alias("bad_doc"), F.col("version").alias("bad_version")).distinct(), "contaminated"), 24)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(docs["text"]) == bad["bad_version"]), "left_anti")
+    """The rows of ``docs`` that hold no test item, with their columns, whatever their names. Null and empty texts
+    stay, as do all rows if the benchmark is empty; rows that repeat go or stay alike."""
+    found = contaminated(docs, benchmark, words, min_score)
+    bad = found.select(F.col("doc_id").alias("bad_doc"), F.col("version").alias("bad_version")).distinct()
+    bad = small(written(bad, "contaminated"), 24)
+    own = docs["doc_id"].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(docs["text"]) == bad["bad_version"])
+    return docs.join(bad, own, "left_anti")

@@ -502,6 +502,54 @@ def test_decontamination_against_alignment_of_whole_texts(spark):
     assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()} == want
 
 
+def test_decontamination_recall_of_random_edits(spark):
+    """Words changed, left out and put in at random, against Smith-Waterman over whole texts; and words that are
+    everywhere, so that rare seeds have to be told from frequent ones."""
+    random = np.random.default_rng(12)
+    common_words = [f"c{i}" for i in range(12)]
+    items = []
+    for n in range(40):
+        size = int(random.integers(3, 60))
+        items.append([f"i{n}.{i}" if random.random() < 0.6 else common_words[int(random.integers(12))] for i in range(size)])
+    rows = []
+    for _ in range(400):
+        item, rate, out = items[int(random.integers(40))], random.random() * 0.5, []
+        for w in item:
+            r = random.random()
+            out += [w] if r > rate else [] if r < rate / 3 else ["put", w] if r < rate * 2 / 3 else ["changed"]
+        pad = lambda: [common_words[int(i)] if i < 12 else f"f{i}" for i in random.integers(0, 60, int(random.integers(0, 40)))]
+        rows.append(pad() + out + pad())
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    docs = docs.withColumn("version", F.lit("x")).withColumn("region", F.lit(1))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    want = {}
+    for n, w in enumerate(items):
+        number = {x: i + 1 for i, x in enumerate(dict.fromkeys(w))}
+        best = decontam.smith_waterman(np.array([number[x] for x in w]), [np.array([number.get(x, 0) for x in row] + [0]) for row in rows])
+        want |= {(i, n): b / len(w) for i, b in enumerate(best.tolist()) if 2 * b >= len(w)}
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()}
+    assert len(want) > 250 and all(abs(want[k] - v) < 1e-9 for k, v in got.items())
+    long = {k for k in want if len(items[k[1]]) >= 12}
+    assert len(got) >= 0.95 * len(want) and len(long & set(got)) >= 0.98 * len(long)
+    bad = {i for i, _ in got}
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == set(range(400)) - bad
+    assert decontam.clean(docs, bench).columns == docs.columns
+
+
+def test_decontamination_of_short_and_unspaced_items(spark):
+    chinese = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u5427"
+    items = [(1, "Yes"), (2, "two\u00a0words"), (3, chinese), (4, "some\u3000ideographic\u00a0blanks between words"), (5, " "), (6, "!?")]
+    long = "x " * 300_000 + "some ideographic blanks between words" + " y" * 1000
+    rows = [
+        (1, "yes!"), (2, "He said yes."), (3, "Two words"), (4, "two words more"), (5, f"\u524d{chinese}\u540e"), (6, None),
+        (7, "and some ideographic\u2003blanks between words"), (8, long), (9, ""), (10, "!?"), (11, " "),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (7, 4), (8, 4)}
+
+
 def test_alignment_against_the_plain_table():
     def plain(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
