@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Each round is a group minimum, combined before its shuffle, and a lookup of that minimum by node. A node may have
-any number of neighbours: ``common.matched`` splits the few crowded nodes by a salt.
-Rounds end in written tables; nothing is collected but two sums and those few nodes.
+any number of neighbours: minima are broadcast where their number is known to be small, else ``common.matched``
+splits the few crowded nodes by a salt. Rounds end in written tables; nothing is collected but two sums and those few nodes.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coordspark.llm import common
 from coordspark.llm.common import matched, written
 
 #: Bytes of a row (node, minimum) in a broadcast.
@@ -21,18 +22,25 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"] or 0
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the ``m`` of their ``u``, of a table ``least`` that has ``n`` rows at most."""
+    if n * ROW_BYTES <= common.BROADCAST_BYTES:
+        return rows.join(F.broadcast(least), "u")
+    return matched(written(rows, "rows"), written(least, "least"), ["u"], ROW_BYTES)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each larger neighbour of a node to the least of the node and its neighbours. Edges have u > v."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    return matched(up, least, ["u"], ROW_BYTES).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _met(up, least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each smaller neighbour of a node, and the node, to the least of them. Edges have u > v."""
-    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
-    met = matched(edges, least, ["u"], ROW_BYTES).where("v <> m")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    met = _met(edges, least, n).where("v <> m")
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
 
 
@@ -48,8 +56,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        large = written(_large_star(edges).distinct(), "large")
-        edges = written(_small_star(large).distinct(), "edges")
+        n = state[0]
+        edges = written(_small_star(_large_star(edges, n).distinct(), n).distinct(), "edges")
         before, state = state, _state(edges)
         if before == state:
             break

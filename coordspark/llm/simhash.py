@@ -299,28 +299,35 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
     """``docs(doc_id, text)`` to a written table ``(doc_id, version, group)``, a row for each input row.
 
     Rows of a group reach each other over links of texts whose ``words``-word shingles have a Jaccard
-    similarity of ``similarity`` or more, by full shingle sets unless a sketch is whole or clear. version hashes the text; null counts as empty, and empty texts are equal.
+    similarity of ``similarity`` or more, by full shingle sets unless a sketch is whole or clear. version hashes the
+    text; null counts as empty, and empty texts are equal.
     """
     row = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), sketched("text", words).alias("s"))
     rows = written(row.select("doc_id", "version", "s.*"), "sketches")
-    one = rows.groupBy("version").agg(F.first(F.struct("fp", "views", "sketch", "size")).alias("s"))
-    texts = written(one.select("version", "s.*"), "texts")
-    sketch = texts.select("version", "sketch", "size")
+    texts = written(rows.select("version", "fp", "views", "size").distinct(), "texts")
+
+    def sketches(pairs: DataFrame) -> DataFrame:
+        """``(version, sketch, size)`` of the texts that occur in the pairs."""
+        asked = written(pairs.select(F.explode(F.array("u", "v")).alias("version")).distinct(), "asked")
+        own = matched(rows.select("version", "sketch", "size"), asked, ["version"], 16, "left_semi")
+        of_text = own.groupBy("version").agg(F.first(F.struct("sketch", "size")).alias("s"))
+        return written(of_text.select("version", "s.*"), "sketch")
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("version <> other").select(F.least("version", "other").alias("u"), F.greatest("version", "other").alias("v"))
         pairs = written(pairs.distinct(), "pairs")
+        sketch, met = sketches(pairs), pairs
         for x in "uv":  # a hub may be in any part of the pairs
             side = sketch.select(F.col("version").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("size").alias(f"size_{x}"))
-            pairs = written(matched(pairs, side, [x], 4 * SKETCH + 32), "pairs")
+            met = matched(met, side, [x], 4 * SKETCH + 32, counted=pairs)
         told = F.greatest("size_u", "size_v") < SKETCH
-        held = written(pairs.select("u", "v", told.alias("told"), _sketch_share("sketch_u", "sketch_v").alias("share")), "held")
+        held = written(met.select("u", "v", told.alias("told"), _sketch_share("sketch_u", "sketch_v").alias("share")), "held")
         sure = held.where(F.col("share") >= F.when(F.col("told"), similarity).otherwise(similarity + MARGIN)).select("u", "v")
-        full = held.where(~F.col("told") & (F.abs(F.col("share") - similarity) < MARGIN)).select("u", "v")
-        sets = _full_sets(full.select(F.explode(F.array("u", "v")).alias("version")).distinct(), docs, words)
+        unsure = written(held.where(~F.col("told") & (F.abs(F.col("share") - similarity) < MARGIN)).select("u", "v"), "unsure")
+        full, sets = unsure, _full_sets(unsure.select(F.explode(F.array("u", "v")).alias("version")).distinct(), docs, words)
         for x, values in zip("uv", "ab", strict=True):
             side = sets.select(F.col("version").alias(x), F.col("values").alias(values))
-            full = written(matched(full, side, [x], F.octet_length(values) + 32), "open")
+            full = matched(full, side, [x], F.octet_length(values) + 32, counted=unsure)
         return sure.unionAll(full.where(_full_share("a", "b") >= similarity).select("u", "v"))
 
     prints = connected(links(texts.select("fp").distinct(), max_bits))
@@ -339,7 +346,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
     rooted = written(rooted.select(*bucket, "n", "version", F.coalesce("root", "version").alias("root")), "rooted")
     split = rooted.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     apart = matched(rooted, written(split.select(*bucket), "split"), bucket, 32)
-    apart = written(apart.join(sketch.select("version", "size"), "version"), "apart")
+    apart = written(apart.join(texts.select("version", "size"), "version"), "apart")
     few = apart.where(F.col("n") <= PAIRED)
     a, b = (few.select(*bucket, *[F.col(c).alias(f"{c}_{x}") for c in ("version", "root", "size")]) for x in "ab")
     sized = F.least("size_a", "size_b") + 1 >= F.greatest("size_a", "size_b") * similarity
