@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast below this many bytes, by its counted rows and a stated width; above it Spark joins by shuffle.
 BROADCAST_BYTES = 16 << 20
-#: Paths of the tables that ``written`` made; a list of a few hundred names in a long session.
-_MADE: list[str] = []
+#: Paths of the tables that ``written`` made, a list for each ``scratch`` that is open and one for all else.
+_MADE: list[list[str]] = [[]]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,29 +41,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/coordspark/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing.
+
+    With ``keep`` it outlives the ``scratch`` that is open, though not one around that.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _MADE.append(path)
+    _MADE[-2 if keep and len(_MADE) > 1 else -1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the tables that ``written`` made inside it: for steps whose result is stored by then."""
-    outer, held = _MADE.copy(), _MADE
-    held.clear()
+    _MADE.append([])
     try:
         yield
     finally:
-        for path in held:
+        for path in _MADE.pop():
             delete(spark, path)
-        held[:] = outer
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -94,15 +95,15 @@ def fits(df: DataFrame, width: int | Column, limit: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if size <= limit else df
 
 
-def matched(rows: DataFrame, one: DataFrame, on: list[str], width: int | Column, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def matched(rows: DataFrame, one: DataFrame, on: list[str], width: int | Column, how: str = "inner", counted: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """``rows`` joined to ``one``, which holds a row for each key at most; both should be written tables. Where
     ``rows`` is dear to make, ``counted`` may be a written table with the same keys.
 
-    A key of ``rows`` may hold any part of them. ``one`` is broadcast if it ``fits``. Else keys that hold more than
+    A key of ``rows`` may hold any part of them. ``one`` is broadcast if it ``fits`` (``limit``). Else keys that hold more than
     an even task's share of ``rows`` are split by a salt into so many even shares, and their rows of ``one``
     repeated as often: fewer than two rows for each shuffle partition in all.
     """
-    if (sent := fits(one, width)) is not one:
+    if (sent := fits(one, width) if limit is None else fits(one, width, limit)) is not one:
         return rows.join(sent, on, how)
     spark = rows.sparkSession
     counted = rows if counted is None else counted

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import Shared, give_back, matched, pieces, small, text_of, written
+from coordspark.llm.common import Shared, give_back, matched, pieces, scratch, small, text_of, written
 
 #: Words of benchmark text that a block holds (16 bytes for each go to every task).
 BLOCK_WORDS = 1_000_000
@@ -302,8 +302,10 @@ def _scored(spark: SparkSession, regions: DataFrame, hits: DataFrame, rare: Data
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = 3, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their columns, whatever their names. Null and empty texts
     stay, as do all rows if the benchmark is empty; rows that repeat go or stay alike."""
-    found = contaminated(docs, benchmark, words, min_score)
-    bad = found.select(F.col("doc_id").alias("bad_doc"), F.col("version").alias("bad_version")).distinct()
-    bad = small(written(bad, "contaminated"), 24)
+    with scratch(docs.sparkSession):
+        found = contaminated(docs, benchmark, words, min_score)
+        bad = found.select(F.col("doc_id").alias("bad_doc"), F.col("version").alias("bad_version")).distinct()
+        bad = written(bad, "contaminated", keep=True)
+    bad = small(bad, 24)
     own = docs["doc_id"].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(docs["text"]) == bad["bad_version"])
     return docs.join(bad, own, "left_anti")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import give_back, matched, small, text_of, written
+from coordspark.llm.common import give_back, matched, scratch, small, text_of, written
 from coordspark.llm.components import connected
 
 SEED = 42
@@ -182,6 +182,8 @@ def print_hex(fp: Column) -> Column:
 # is MARGIN, six standard errors, or more away from the similarity asked for; all else is for the full sets.
 VIEWS, VIEW_FEATURES, SKETCH = 16, 64, 256
 PAIRED, BLOCK, MARGIN = 64, 256, 0.15
+#: Sketches and sets, of which there are as many as texts in pairs, are broadcast only below this many bytes.
+WIDE_BYTES = 1 << 20
 
 
 def sketched(text: str | Column, words: int, views: int = VIEWS) -> Column:
@@ -319,7 +321,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
         sketch, met = sketches(pairs), pairs
         for x in "uv":  # a hub may be in any part of the pairs
             side = sketch.select(F.col("version").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("size").alias(f"size_{x}"))
-            met = matched(met, side, [x], 4 * SKETCH + 32, counted=pairs)
+            met = matched(met, side, [x], 4 * SKETCH + 32, counted=pairs, limit=WIDE_BYTES)
         told = F.greatest("size_u", "size_v") < SKETCH
         held = written(met.select("u", "v", told.alias("told"), _sketch_share("sketch_u", "sketch_v").alias("share")), "held")
         sure = held.where(F.col("share") >= F.when(F.col("told"), similarity).otherwise(similarity + MARGIN)).select("u", "v")
@@ -327,30 +329,35 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
         full, sets = unsure, _full_sets(unsure.select(F.explode(F.array("u", "v")).alias("version")).distinct(), docs, words)
         for x, values in zip("uv", "ab", strict=True):
             side = sets.select(F.col("version").alias(x), F.col("values").alias(values))
-            full = matched(full, side, [x], F.octet_length(values) + 32, counted=unsure)
+            full = matched(full, side, [x], F.octet_length(values) + 32, counted=unsure, limit=WIDE_BYTES)
         return sure.unionAll(full.where(_full_share("a", "b") >= similarity).select("u", "v"))
 
     prints = connected(links(texts.select("fp").distinct(), max_bits))
     prints = written(prints.select(F.col("node").alias("fp"), "root"), "print-roots")
-    of_print = matched(texts.select("version", "fp"), prints, ["fp"], 32, "left")
-    of_print = of_print.select("version", F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("vp"))
-    of_view = texts.select("version", F.posexplode("views").alias("view", "vp")).where("vp is not null")
+    of_print = matched(texts.select("version", "size", "fp"), prints, ["fp"], 32, "left")
+    of_print = of_print.select("version", "size", F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("vp"))
+    of_view = texts.select("version", "size", F.posexplode("views").alias("view", "vp")).where("vp is not null")
     listed = written(of_view.unionAll(of_print), "listed")
     bucket = ["view", "vp"]
-    ends = listed.groupBy(*bucket).agg(F.min("version").alias("low"), F.max("version").alias("high"), F.count(F.lit(1)).alias("n"))
-    met = written(matched(listed, written(ends.where("low < high"), "ends"), bucket, 64), "buckets")
+    text = F.struct("version", "size")
+    ends = listed.groupBy(*bucket).agg(F.min(text).alias("low"), F.max(text).alias("high"), F.count(F.lit(1)).alias("n"))
+    met = written(matched(listed, written(ends.where("low.version < high.version"), "ends"), bucket, 80), "buckets")
+
+    def sized(a: str, b: str) -> Column:
+        """Whether texts with these numbers of shingles can be similar."""
+        return F.least(a, b) + 1 >= F.greatest(a, b) * similarity
 
     # most copies are connected by the ends of their buckets; then the pairs of what is still apart
-    stars = written(connected(similar(met.select("version", F.explode(F.array("low", "high")).alias("other")))), "stars")
+    pairs = met.select("version", "size", F.explode(F.array("low", "high")).alias("end")).where(sized("size", "end.size"))
+    stars = written(connected(similar(pairs.select("version", F.col("end.version").alias("other")))), "stars")
     rooted = met.join(stars.withColumnRenamed("node", "version"), "version", "left")
-    rooted = written(rooted.select(*bucket, "n", "version", F.coalesce("root", "version").alias("root")), "rooted")
+    rooted = written(rooted.select(*bucket, "n", "version", "size", F.coalesce("root", "version").alias("root")), "rooted")
     split = rooted.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    apart = matched(rooted, written(split.select(*bucket), "split"), bucket, 32)
-    apart = written(apart.join(texts.select("version", "size"), "version"), "apart")
+    apart = written(matched(rooted, written(split.select(*bucket), "split"), bucket, 32), "apart")
     few = apart.where(F.col("n") <= PAIRED)
     a, b = (few.select(*bucket, *[F.col(c).alias(f"{c}_{x}") for c in ("version", "root", "size")]) for x in "ab")
-    sized = F.least("size_a", "size_b") + 1 >= F.greatest("size_a", "size_b") * similarity
-    pairs = a.join(b, bucket).where((F.col("version_a") < F.col("version_b")) & (F.col("root_a") != F.col("root_b")) & sized)
+    other = (F.col("version_a") < F.col("version_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = a.join(b, bucket).where(other & sized("size_a", "size_b"))
     rest = similar(pairs.select(F.col("version_a").alias("version"), F.col("version_b").alias("other")))
     large = written(apart.where(F.col("n") > PAIRED).select(*bucket, "version", "root"), "large")
     if not large.isEmpty():
@@ -358,7 +365,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
     linked = stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(rest)
     roots = written(connected(linked).select(F.col("node").alias("version"), F.col("root").alias("group")), "groups")
     grouped = matched(rows.select("doc_id", "version"), roots, ["version"], 32, "left")
-    return written(grouped.select("doc_id", "version", F.coalesce("group", "version").alias("group")), "grouped")
+    return written(grouped.select("doc_id", "version", F.coalesce("group", "version").alias("group")), "grouped", keep=True)
 
 
 def _sketch_share(a: str, b: str) -> Column:
@@ -390,7 +397,8 @@ def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: in
     alike, a text of fewer than ``words`` words is one shingle, and texts of any length are compared whole. An
     empty table gives none; columns of any other names are kept as they are.
     """
-    grouped = similar_groups(docs, words, similarity, max_bits)
+    with scratch(docs.sparkSession):
+        grouped = similar_groups(docs, words, similarity, max_bits)
     rank = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "version")).alias("first")
     first = grouped.groupBy("group").agg(rank)
     first = written(first.select("group", F.col("first.doc_id").alias("keep_doc"), F.col("first.version").alias("keep_version")), "first")
