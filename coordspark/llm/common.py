@@ -156,7 +156,10 @@ class Shared:
 
 
 def give_back() -> None:
-    """Returns freed memory of this worker process to the system, where the C library can."""
+    """Returns freed memory of this worker process to the system, where the libraries can."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
     try:
         trim = ctypes.CDLL(None).malloc_trim
     except (AttributeError, OSError):

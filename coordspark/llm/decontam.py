@@ -49,7 +49,7 @@ def chunks_of(text: str) -> list[str]:
 class Words(dict):
     """Chunk to the signed 64-bit hash of its plain word, 0 for none. Bounded like a cache."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         self.limit = limit
 
     def __missing__(self, chunk: str) -> int:

@@ -147,7 +147,7 @@ class Model:
         Texts of like lengths go together: a few long ones then don't make steps for all others.
         """
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        for a, b in pieces([texts[i] for i in order], 1_000_000):
+        for a, b in pieces([texts[i] for i in order], 500_000):
             yield from self._words([(i, texts[i]) for i in order[a:b] if has_letter(texts[i])])
 
     def _words(self, texts: list[tuple[int, str]]) -> Iterator[tuple[int, tuple[list[bytes], np.ndarray, np.ndarray]]]:

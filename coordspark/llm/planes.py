@@ -42,7 +42,7 @@ class WordCache(dict):
     give white space no ids.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 60_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.limit, self.tokenizer, self.words = limit, Tokenizer.from_file(path), {}
