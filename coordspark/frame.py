@@ -10,10 +10,12 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 VALUE = "value"
 
@@ -159,15 +161,44 @@ class LabeledFrame:
 
     # -- layout ----------------------------------------------------------------------------------------------
 
-    def dense(self, sample: str, features: Sequence[str] | None = None, name: str = "features") -> DataFrame:
-        """A row per sample: its coordinates and an array over the other dimensions in label order.
+    def grid(self, *dims: str) -> dict[str, list]:
+        """The labels of dimensions of a bounded size, on the driver: what ``arrays`` are laid out by."""
+        return {d: self.label_list(d) for d in dims}
 
-        Missing cells are left out of the array; use ``complete`` first where rows may lack cells.
+    def dense(self, sample: str, features: Sequence[str] | None = None, name: str = "features", grid: Mapping[str, Sequence] | None = None) -> DataFrame:
+        """A row per sample: its coordinates and an array over the other dimensions in label order."""
+        return self.arrays([sample], list(features or self.others(sample)), name, grid)
+
+    def arrays(self, keys: Sequence[str], features: Sequence[str], name: str = "features", grid: Mapping[str, Sequence] | None = None) -> DataFrame:
+        """A row for each combination of ``keys``: their coordinates and an array over ``features``, in C order.
+
+        Each label has its place: of ``grid`` (what a fit has seen), else of the frame's own labels. A missing cell
+        is a null in its place, and a cell whose label the grid lacks an error.
         """
-        features = list(features or self.others(sample))
-        keys = [sample, *self.coords_of(sample)]
-        cell = F.struct(*features, VALUE)
-        return self.cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x[VALUE]).alias(name))
+        held = [*keys, *self.coords_of(*keys)]
+        rows, axes = self.cells, []
+        for i, d in enumerate(features):
+            if grid is None:  # a row, of a dimension of a bounded size
+                labels = self.cells.select(d).where(F.col(d).isNotNull()).distinct()
+                rows = rows.crossJoin(F.broadcast(labels.agg(F.array_sort(F.collect_set(d)).alias(f"_axis{i}"))))
+                axes.append(F.first(f"_axis{i}"))
+            else:
+                axes.append(F.array(*map(F.lit, grid[d])).cast(ArrayType(self.cells.schema[d].dataType)))
+        sizes, inner = [F.size(x) for x in axes], []
+        for i in range(len(axes)):  # how many places a step along the axis is
+            inner.append(reduce(lambda a, b: a * b, sizes[i + 1 :], F.lit(1)))
+        at = lambda n, i: F.get(axes[i], (F.floor(n / inner[i]) % sizes[i]).cast("int")).alias(features[i])
+        every = F.sequence(F.lit(0), inner[0] * sizes[0] - 1)
+        places = F.transform(every, lambda n: F.struct(*[at(n, i) for i in range(len(axes))]))
+        found = F.array_sort(F.collect_list(F.struct(F.struct(*features).alias("place"), VALUE)))
+        own = F.transform(found, lambda x: x["place"])
+        # a lookup in a map: Spark can't take a lambda within a lambda into the arguments of a Python function
+        by_place = F.map_from_entries(found)
+        spread = F.transform(places, lambda p: F.try_element_at(by_place, p))
+        wrong = F.raise_error(F.lit(f"a label of {', '.join(features)} was not there before")).cast("array<double>")
+        strange = F.size(F.array_except(own, places)) > 0
+        laid = F.when(own == places, F.transform(found, lambda x: x[VALUE])).when(strange, wrong).otherwise(spread)
+        return rows.groupBy(*held).agg(laid.alias(name))
 
     def complete(self, sample: str) -> LabeledFrame:
         """Every combination of a sample with the labels of the other dimensions, null where there is no cell."""

@@ -95,8 +95,31 @@ _REGRESSION = {"r2": "r2", "r2_score": "r2", "mse": "neg_mse", "neg_mean_squared
 _MULTILABEL = {"f1_samples": "f1_samples", "hamming_loss": "neg_hamming", "subset_accuracy": "subset_accuracy"}
 
 
+#: Scores of probabilities.
+_PRECISION = ("ap_macro", "ap_micro", "ap_samples")
+
+
+def _precision(predictions: DataFrame, truth: str | Sequence[str]) -> DataFrame:
+    """Of several 0/1 targets with ``probability__<target>`` (its last entry is that of 1), or of one target whose
+    ``probability`` stands in the order of its ascending labels, each against the rest. Samples are rows."""
+    rows = predictions.withColumn("_sample", F.monotonically_increasing_id())
+    if not isinstance(truth, str):
+        names = list(truth)
+        pairs = [(F.col(t).cast("int"), F.element_at(f"probability__{t}", -1)) for t in names]
+    else:
+        labels = [r[0] for r in rows.select(truth).where(F.col(truth).isNotNull()).distinct().orderBy(truth).collect()]
+        pairs = [((F.col(truth) == F.lit(x)).cast("int"), F.get("probability", i)) for i, x in enumerate(labels)]
+    columns = [c for i, (t, p) in enumerate(pairs) for c in (t.alias(f"t{i}"), p.alias(f"p{i}"))]
+    n = range(len(pairs))
+    return multilabel_average_precision(rows.select("_sample", *columns), "_sample", [f"t{i}" for i in n], [f"p{i}" for i in n])
+
+
 def score_table(name: str, predictions: DataFrame, truth: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(by, score)``. Several targets are read from ``prediction__<target>``."""
+    if name in _PRECISION:
+        if by:
+            raise ValueError("average precision has no groups; filter first")
+        return _precision(predictions, truth).select(F.col(name).alias("score"))
     if not isinstance(truth, str) and name in {*_MULTILABEL, "f1_macro", "f1_micro"}:
         if by:
             raise ValueError("multilabel scores have no groups; filter first")
@@ -112,7 +135,12 @@ def score_table(name: str, predictions: DataFrame, truth: str | Sequence[str], b
 def scorer(name: str | Callable) -> Callable[[DataFrame, str], float]:
     if callable(name):
         return name
-    return lambda predictions, truth: float(score_table(name, predictions, truth).first()["score"] or 0.0)
+
+    def score(predictions: DataFrame, truth: str | Sequence[str]) -> float:
+        row = score_table(name, predictions, truth).first()
+        return float("nan") if row is None or row["score"] is None else float(row["score"])
+
+    return score
 
 
 def sem(values: str | Column, ddof: int = 0) -> Column:

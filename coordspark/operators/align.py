@@ -72,7 +72,8 @@ class _Aligner(Transform):
 
     def _fit(self, frame: LabeledFrame) -> None:
         used = by_conditions(frame, self.adapt_sel) if self.adapt_sel else frame
-        found = Groups.of(used.dense(self.sample_dim), self.group_coord, self.target_coord if self.needs_target else None)
+        self.grid = frame.grid(*frame.others(self.sample_dim))
+        found = Groups.of(used.dense(self.sample_dim, grid=self.grid), self.group_coord, self.target_coord if self.needs_target else None)
         names = sorted(found.stats)
         if self.target_group is not None and self.target_group not in names:
             raise TransformError(f"no group {self.target_group!r} among {names}")
@@ -92,9 +93,6 @@ class _Aligner(Transform):
         maps, group, sample = self.maps, self.group_coord, self.sample_dim
         rest = frame.others(sample)
         coords = dict.fromkeys(frame.coords_of(sample), sample)
-        unseen = frame.cells.select(group).distinct().where(~F.col(group).isin(list(maps)))
-        if row := unseen.first():
-            raise TransformError(f"group {row[0]!r} was not fitted")
         if len(rest) != 1:
             raise TransformError("alignment takes (sample, feature) frames")
 
@@ -102,14 +100,17 @@ class _Aligner(Transform):
         def mapped(xs: pd.Series, gs: pd.Series) -> pd.Series:
             out: list = [None] * len(xs)
             for g in gs.unique():
+                if g not in maps:
+                    raise TransformError(f"group {g!r} was not fitted")
                 at = np.flatnonzero((gs == g).to_numpy())
                 x = np.array([xs.iloc[i] for i in at], float)
                 for i, y in zip(at, x if maps[g] is None else maps[g](x), strict=True):
                     out[i] = y
             return pd.Series(out, dtype=object)
 
-        dense = frame.dense(sample).withColumn("_out", mapped("features", group))
+        dense = frame.dense(sample, grid=self.grid).withColumn("_out", mapped.asNondeterministic()("features", group))
         out = dense.select(sample, *coords, F.posexplode("_out").alias(rest[0], VALUE))
+        out = out.withColumn(VALUE, F.nullif(VALUE, F.lit(float("nan"))))  # of samples that lack a cell
         return frame.with_cells(out, (sample, rest[0]), coords)
 
 

@@ -177,9 +177,12 @@ class Predictor(Transform):
         self.classes = list(classes)
         return self
 
+    #: Feature labels that the fit has seen.
+    grid: dict[str, list] | None = None
+
     def features(self, frame: LabeledFrame) -> DataFrame:
-        """``(sample, coordinates, features array)``."""
-        return frame.dense(self.sample_dim)
+        """``(sample, coordinates, features array)``, by the fitted labels; a missing cell is null."""
+        return frame.dense(self.sample_dim, grid=self.grid)
 
     def target_names(self, frame: LabeledFrame) -> list[str]:
         return frame.targets(self.target_coord)
@@ -187,6 +190,7 @@ class Predictor(Transform):
     def _fit(self, frame: LabeledFrame) -> None:
         if self.is_classifier and self.classes is None and len(self.target_names(frame)) == 1:
             self.classes = frame.label_list(self.target_names(frame)[0])
+        self.grid = frame.grid(*frame.others(self.sample_dim))
         self._learn(frame)
 
     def _learn(self, frame: LabeledFrame) -> None:

@@ -46,7 +46,11 @@ class Moments:
 
 
 def moments(dense: DataFrame, by: Sequence[str] = (), features: str = "features") -> dict[tuple, Moments]:
-    """Moments of the rows of each combination of ``by`` (few: classes, groups, folds)."""
+    """Moments of the rows of each combination of ``by`` (few: classes, groups, folds). Rows with a null are left out.
+
+    Tasks give their sums out by row of the Gram matrix; these add up in the cluster, and one matrix for each
+    combination reaches the driver, however many tasks there are.
+    """
     keys = list(by)
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,22 +58,31 @@ def moments(dense: DataFrame, by: Sequence[str] = (), features: str = "features"
         for f in frames:
             for key, g in f.groupby(keys, dropna=False) if keys else [((), f)]:
                 x = np.array(g["x"].tolist(), float)
+                if x.shape[1] > MAX_FEATURES:
+                    raise ValueError(f"{x.shape[1]} features; moments are made for up to {MAX_FEATURES}")
                 own = Moments(len(x), x.sum(axis=0), x.T @ x)
                 held[key] = held[key] + own if key in held else own
-        if held:
-            out = pd.DataFrame([dict(zip(keys, k, strict=True)) | {"n": float(m.n), "total": m.total.tolist(), "gram": m.gram.ravel().tolist()} for k, m in held.items()])
-            yield out[[*keys, "n", "total", "gram"]]
-
-    rows = dense.where(F.col(features).isNotNull() & ~F.exists(features, lambda x: x.isNull())).select(*keys, F.col(features).alias("x"))
-    schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "n double, total array<double>, gram array<double>"])
-    found: dict[tuple, Moments] = {}
-    for r in rows.mapInPandas(add, schema).toLocalIterator():
-        p = len(r["total"])
-        if p > MAX_FEATURES:
-            raise TransformError(f"{p} features; moments are made for up to {MAX_FEATURES}")
-        own = Moments(r["n"], np.array(r["total"]), np.array(r["gram"]).reshape(p, p))
-        key = tuple(r[k] for k in keys)
-        found[key] = found[key] + own if key in found else own
+        for k, m in held.items():
+            of_key = pd.DataFrame([dict(zip(keys, k, strict=True))] * len(m.total)) if keys else pd.DataFrame(index=range(len(m.total)))
+            yield of_key.assign(row=np.arange(len(m.total)), n=float(m.n), total=m.total, gram=list(m.gram))
+
+    rows = dense.where(F.col(features).isNotNull() & ~F.exists(features, lambda x: x.isNull()))
+    rows = rows.select(*keys, F.col(features).alias("x"))
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    parts = rows.mapInPandas(add, ", ".join([*kinds, "row long", "n double", "total double", "gram array<double>"]))
+
+    def sums(g: pd.DataFrame) -> pd.DataFrame:
+        first = g.iloc[:1][[*keys, "row"]]
+        return first.assign(n=g["n"].sum(), total=g["total"].sum(), gram=[np.sum(np.stack(g["gram"]), axis=0)])
+
+    added = parts.groupBy(*keys, "row").applyInPandas(sums, parts.schema)
+    held: dict[tuple, dict[int, Any]] = {}
+    for r in added.toLocalIterator():
+        held.setdefault(tuple(r[k] for k in keys), {})[r["row"]] = r
+    found = {}
+    for key, of_row in held.items():
+        own = [of_row[i] for i in range(len(of_row))]
+        found[key] = Moments(own[0]["n"], np.array([r["total"] for r in own]), np.array([r["gram"] for r in own]))
     return found
 
 
@@ -84,7 +97,7 @@ def apply_matrix(features: str | Column, matrix: np.ndarray, offset: np.ndarray
         x = np.array(xs.tolist(), float)
         return pd.Series(list((x if offset is None else x - offset) @ matrix))
 
-    return project(features)
+    return project.asNondeterministic()(features)  # so that no later expression takes it in
 
 
 def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +137,13 @@ class _Projection(Transform):
         self.matrix: np.ndarray | None = None
 
     def rows(self, frame: LabeledFrame) -> DataFrame:
-        keys = frame.others(self.feature_dim)
-        cell = F.struct(self.feature_dim, VALUE)
-        return frame.cells.groupBy(*keys, *frame.coords_of(*keys)).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x[VALUE]).alias("features"))
+        """An array over the fitted feature labels for each of the other labels."""
+        return frame.arrays(frame.others(self.feature_dim), [self.feature_dim], grid=self.grid)
 
     def _fit(self, frame: LabeledFrame) -> None:
+        """Rows that lack a cell are left out."""
+        frame.require(self.feature_dim)
+        self.grid = frame.grid(self.feature_dim)
         if not (found := moments(self.rows(frame))):
             raise TransformError("no complete row to fit on")
         (m,) = found.values()
@@ -149,6 +164,7 @@ class _Projection(Transform):
         keys, dim = frame.others(self.feature_dim), self.feature_dim
         coords = {c: d for c, d in frame.coords.items() if d in keys}
         out = self.rows(frame).select(*keys, *coords, F.posexplode(apply_matrix("features", self.matrix, self.mean)).alias(dim, VALUE))
+        out = out.withColumn(VALUE, F.nullif(VALUE, F.lit(float("nan"))))  # of rows that lack a cell
         if (labels := self._labels(frame)) is not None:
             out = out.withColumn(dim, F.get(F.array(*map(F.lit, labels)), F.col(dim)))
         return frame.with_cells(out, frame.dims, coords)
@@ -184,7 +200,7 @@ class GlobalZCA(_Projection):
         self.matrix = (vectors * scale)[:, :k] if self.keep_in_pc_space else (vectors * scale) @ vectors.T
 
     def _labels(self, frame: LabeledFrame) -> list | None:
-        return None if self.keep_in_pc_space else frame.label_list(self.feature_dim)
+        return None if self.keep_in_pc_space else self.grid[self.feature_dim]
 
 
 class GlobalColoring(_Projection):
@@ -206,12 +222,12 @@ class ReconstructionPCA(_Projection):
 
     def _transform(self, frame: LabeledFrame) -> LabeledFrame:
         out = super()._transform(frame)
-        means = dict(zip(frame.label_list(self.feature_dim), self.mean, strict=True))
+        means = dict(zip(self.grid[self.feature_dim], self.mean, strict=True))
         entries = F.create_map(*[F.lit(x) for k, v in means.items() for x in (k, float(v))])
         return out.with_value(F.col(VALUE) + F.element_at(entries, F.col(self.feature_dim)))
 
     def _labels(self, frame: LabeledFrame) -> list | None:
-        return frame.label_list(self.feature_dim)
+        return self.grid[self.feature_dim]
 
 
 class ClassMoments:
@@ -241,13 +257,16 @@ class LDAProjection(Transform):
         self.target_coord, self.sample_dim, self.shrinkage, self.output_dim = target_coord, sample_dim, shrinkage, output_dim
 
     def _fit(self, frame: LabeledFrame) -> None:
-        m = class_moments(frame.dense(self.sample_dim), self.target_coord)
+        self.grid = frame.grid(*frame.others(self.sample_dim))
+        m = class_moments(frame.dense(self.sample_dim, grid=self.grid), self.target_coord)
         self.mean = m.mean
         self.matrix = discriminants(m, shrunk(m.scatter / m.n, self.shrinkage))
 
     def _transform(self, frame: LabeledFrame) -> LabeledFrame:
         coords = dict.fromkeys(frame.coords_of(self.sample_dim), self.sample_dim)
-        out = frame.dense(self.sample_dim).select(self.sample_dim, *coords, F.posexplode(apply_matrix("features", self.matrix, self.mean)).alias(self.output_dim, VALUE))
+        rows = frame.dense(self.sample_dim, grid=self.grid)
+        out = rows.select(self.sample_dim, *coords, F.posexplode(apply_matrix("features", self.matrix, self.mean)).alias(self.output_dim, VALUE))
+        out = out.withColumn(VALUE, F.nullif(VALUE, F.lit(float("nan"))))  # of samples that lack a cell
         return frame.with_cells(out, (self.sample_dim, self.output_dim), coords)
 
 
@@ -259,7 +278,8 @@ class NearestCentroidProjection(LDAProjection):
         self.n_components, self.use_priors = n_components, use_priors
 
     def _fit(self, frame: LabeledFrame) -> None:
-        m = class_moments(frame.dense(self.sample_dim), self.target_coord)
+        self.grid = frame.grid(*frame.others(self.sample_dim))
+        m = class_moments(frame.dense(self.sample_dim, grid=self.grid), self.target_coord)
         if not self.use_priors:
             m.priors = np.full(len(m.classes), 1 / len(m.classes))
             m.mean = m.priors @ m.means

@@ -32,6 +32,18 @@ def decoded(code: str | Column, classes: Sequence) -> Column:
     return F.get(F.array(*map(F.lit, classes)), c.cast("int"))
 
 
+def whole(features: str | Column) -> Column:
+    """Whether no cell is missing."""
+    return ~F.exists(features, lambda x: x.isNull())
+
+
+def vector(features: str | Column) -> Column:
+    """For estimators of ``pyspark.ml``, which have no missing values: an error where a cell is missing."""
+    c = F.col(features) if isinstance(features, str) else features
+    wrong = F.raise_error(F.lit("a sample lacks cells; fill them or leave it out")).cast("array<double>")
+    return array_to_vector(F.when(whole(c), c).otherwise(wrong))
+
+
 def argmax(scores: str | Column) -> Column:
     """The first place of the greatest entry, from 0."""
     return F.array_position(scores, F.array_max(scores)) - 1
@@ -80,12 +92,16 @@ class LDA(Predictor):
 
         @F.pandas_udf("array<double>")
         def softmax(xs: pd.Series) -> pd.Series:
-            z = np.array(xs.tolist(), float).reshape(len(xs), -1) @ coef + intercept if len(xs) else np.zeros((0, len(intercept)))
-            e = np.exp(z - z.max(axis=1, keepdims=True)) if len(xs) else z
-            return pd.Series(list(e / e.sum(axis=1, keepdims=True))) if len(xs) else pd.Series([], dtype=object)
+            if not len(xs):
+                return pd.Series([], dtype=object)
+            x = np.array(xs.tolist(), float).reshape(len(xs), -1)
+            z = np.nan_to_num(x) @ coef + intercept
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            lacking = np.isnan(x).any(axis=1)
+            return pd.Series([None if none else p for none, p in zip(lacking, e / e.sum(axis=1, keepdims=True), strict=True)], dtype=object)
 
         keys = [self.sample_dim, *frame.coords_of(self.sample_dim)]
-        scored = self.features(frame).select(*keys, softmax("features").alias("probability"))
+        scored = self.features(frame).select(*keys, softmax.asNondeterministic()("features").alias("probability"))
         return scored.withColumn("prediction", decoded(argmax("probability"), self.classes))
 
 
@@ -113,11 +129,14 @@ class Ridge(Predictor):
     def _predict(self, frame: LabeledFrame) -> DataFrame:
         keys = [self.sample_dim, *frame.coords_of(self.sample_dim)]
         augmented = F.concat("features", F.array(F.lit(1.0)))
-        out = self.features(frame).select(*keys, apply_matrix(augmented, np.vstack([self.coef, self.intercept])).alias("_y"))
+        y = apply_matrix(augmented, np.vstack([self.coef, self.intercept]))
+        out = self.features(frame).select(*keys, y.alias("_y"))
+        of = lambda i: F.nullif(F.col("_y")[i], F.lit(float("nan")))  # noqa: E731  of a sample that lacks a cell
         names = self.target_names(frame)
         if len(names) == 1:
-            return out.select(*keys, F.col("_y")[0].alias("prediction"))
-        return out.select(*keys, F.col("_y").alias("prediction"), *[F.col("_y")[i].alias(f"prediction__{t}") for i, t in enumerate(names)])
+            return out.select(*keys, of(0).alias("prediction"))
+        each = [of(i) for i in range(len(names))]
+        return out.select(*keys, F.array(*each).alias("prediction"), *[p.alias(f"prediction__{t}") for p, t in zip(each, names, strict=True)])
 
 
 class SparkPredictor(Predictor):
@@ -136,7 +155,7 @@ class SparkPredictor(Predictor):
     def _rows(self, frame: LabeledFrame) -> DataFrame:
         target = self.target_names(frame)[0]
         label = encoded(target, self.classes) if self.is_classifier else F.col(target)
-        return self.features(frame).withColumn("features", array_to_vector("features")).withColumn("label", label.cast("double"))
+        return self.features(frame).withColumn("features", vector("features")).withColumn("label", label.cast("double"))
 
     def _estimator(self, frame: LabeledFrame) -> Any:
         params = dict(self.params)
@@ -150,7 +169,7 @@ class SparkPredictor(Predictor):
 
     def _predict(self, frame: LabeledFrame) -> DataFrame:
         keys = [self.sample_dim, *frame.coords_of(self.sample_dim)]
-        out = self.model.transform(self.features(frame).withColumn("features", array_to_vector("features")))
+        out = self.model.transform(self.features(frame).withColumn("features", vector("features")))
         if not self.is_classifier:
             return out.select(*keys, "prediction")
         named = decoded("prediction", self.classes).alias("prediction")
@@ -198,7 +217,7 @@ class BoostedTrees(SparkPredictor):
 
     def _predict(self, frame: LabeledFrame) -> DataFrame:
         keys = [self.sample_dim, *frame.coords_of(self.sample_dim)]
-        rows = self.features(frame).withColumn("features", array_to_vector("features"))
+        rows = self.features(frame).withColumn("features", vector("features"))
         if not self.is_classifier:
             return self.models[0].transform(rows).select(*keys, "prediction")
         for i, m in enumerate(self.models):
@@ -250,9 +269,10 @@ class SparkTransformer(Transform):
         self.estimator, self.params, self.sample_dim, self.output_dim = estimator, dict(params or {}), sample_dim, output_dim
 
     def _rows(self, frame: LabeledFrame) -> DataFrame:
-        return frame.dense(self.sample_dim).withColumn("features", array_to_vector("features"))
+        return frame.dense(self.sample_dim, grid=self.grid).withColumn("features", vector("features"))
 
     def _fit(self, frame: LabeledFrame) -> None:
+        self.grid = frame.grid(*frame.others(self.sample_dim))
         self.model = self.estimator(inputCol="features", outputCol="_out", **self.params).fit(self._rows(frame))
 
     def _transform(self, frame: LabeledFrame) -> LabeledFrame:

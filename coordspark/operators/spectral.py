@@ -24,11 +24,19 @@ BANDS = {"theta": (4, 8), "alpha": (8, 12), "beta": (12, 30), "low_gamma": (30,
 
 
 def signals(frame: LabeledFrame, time_dim: str) -> tuple[DataFrame, list[str]]:
-    """``(other dims, their coordinates, times, values)``: a row per signal in order of time."""
+    """``(other dims, their coordinates, times, values)``: a row per signal in order of time.
+
+    Filters and spectra take samples at even steps, so signals that differ in length, or hold a null, are an error.
+    """
     keys = frame.others(time_dim)
     held = [*keys, *frame.coords_of(*keys)]
     cell = F.array_sort(F.collect_list(F.struct(time_dim, VALUE)))
-    return frame.cells.groupBy(*held).agg(cell.alias("_s")).select(*held, F.col(f"_s.{time_dim}").alias("times"), F.col(f"_s.{VALUE}").alias("values")), held
+    steps = frame.cells.agg(F.count_distinct(time_dim).alias("_steps"))
+    rows = frame.cells.groupBy(*held).agg(cell.alias("_s")).crossJoin(F.broadcast(steps))  # one number
+    values = F.col(f"_s.{VALUE}")
+    missing = (F.size("_s") != F.col("_steps")) | F.exists(values, lambda x: x.isNull())
+    wrong = F.raise_error(F.lit(f"a signal lacks cells along {time_dim}")).cast("array<double>")
+    return rows.select(*held, F.col(f"_s.{time_dim}").alias("times"), F.when(missing, wrong).otherwise(values).alias("values")), held
 
 
 class Bandpass(Transform):

@@ -25,15 +25,20 @@ from coordspark.operators.sampling import ranked, turn
 HOLDOUT = -1
 
 
-def stratified_folds(samples: DataFrame, sample: str, stratum: str | None, k: int, seed: int) -> DataFrame:
-    """``samples`` with ``fold``."""
+def stratified_folds(samples: DataFrame, sample: str, stratum: str | None, k: int, seed: int | None) -> DataFrame:
+    """``samples`` with ``fold``; without a seed in the order of the samples' labels."""
     strata = [stratum] if stratum else []
-    rows = ranked(samples, sample, strata, seed)
+    if seed is None:
+        order = Window.partitionBy(*strata).orderBy(sample) if strata else Window.orderBy(sample)
+        rows = samples.withColumns({"rank": F.row_number().over(order), "total": F.lit(0)})
+    else:
+        rows = ranked(samples, sample, strata, seed)
     if not strata:
         return rows.withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank", "total")
-    sizes = samples.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))  # a row per stratum, 100 at most
-    starts = sizes.select(stratum, (F.sum("_n").over(Window.orderBy(stratum)) - F.col("_n")).alias("_off"))
-    return rows.join(F.broadcast(starts), stratum).withColumn("fold", ((F.col("rank") - 1 + F.col("_off")) % k).cast("int")).drop("rank", "total", "_off")
+    sizes = samples.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_n"))  # a row per stratum
+    starts = sizes.select("_stratum", (F.sum("_n").over(Window.orderBy("_stratum")) - F.col("_n")).alias("_off"))
+    met = rows.join(F.broadcast(starts), F.col(stratum).eqNullSafe(F.col("_stratum")))  # a null is a stratum too
+    return met.withColumn("fold", ((F.col("rank") - 1 + F.col("_off")) % k).cast("int")).drop("rank", "total", "_off", "_stratum")
 
 
 def holdout(samples: DataFrame, sample: str, stratum: str | None, test_size: float, seed: int) -> DataFrame:
@@ -52,6 +57,10 @@ class Validator:
         self.stratify_coord, self.sample_dim, self.scoring, self.pooled_score_weight = stratify_coord, sample_dim, scoring, pooled_score_weight
         self.exclude_intertrial, self.exclude_time_offset = exclude_intertrial, exclude_time_offset
 
+    @property
+    def fold_seed(self) -> int | None:
+        return self.random_state if self.shuffle else None
+
     def _guard(self, samples: DataFrame, stratum: str, least: int) -> None:
         row = samples.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.min("n")).first()
         if row[0] > 100:
@@ -81,10 +90,10 @@ class Validator:
             self._guard(units, stratum, max(self.n_splits, 2 if self.test_size else 0))
         if self.test_size:
             units = holdout(units, "_unit", stratum, self.test_size, self.random_state)
-            kept = stratified_folds(units.where("not held"), "_unit", stratum, self.n_splits, self.random_state)
+            kept = stratified_folds(units.where("not held"), "_unit", stratum, self.n_splits, self.fold_seed)
             dealt = kept.select("_unit", "fold").unionByName(units.where("held").select("_unit", F.lit(HOLDOUT).alias("fold")))
         else:
-            dealt = stratified_folds(units, "_unit", stratum, self.n_splits, self.random_state).select("_unit", "fold")
+            dealt = stratified_folds(units, "_unit", stratum, self.n_splits, self.fold_seed).select("_unit", "fold")
         return named.select(d, "_unit").join(dealt, "_unit").select(d, "fold")
 
     def fold_list(self, folds: DataFrame) -> list[int]:
@@ -101,9 +110,9 @@ class Validator:
         """Predictions that count."""
         out = predictions
         if self.exclude_intertrial and "event_type" in out.columns:
-            out = out.where("event_type <> 'intertrial'")
+            out = out.where("event_type is distinct from 'intertrial'")
         if self.exclude_time_offset and "time_offset_ms" in out.columns:
-            out = out.where("time_offset_ms = 0")
+            out = out.where("time_offset_ms = 0 or time_offset_ms is null")
         return out
 
 
@@ -129,7 +138,9 @@ class GroupedKFold(Validator):
             marked = holdout(samples, d, stratum, self.test_size, self.random_state)
             held = F.col("held") & (F.col(self.group_coord).isin(list(self.test_groups)) if self.test_groups else F.lit(True))
             samples, rest = marked.where(~F.col("held")).drop("held"), marked.where(held)
-        dealt = stratified_folds(samples, d, stratum, self.n_splits, self.random_state).select(d, "fold")
+        if stratum:
+            self._guard(samples, stratum, self.n_splits)
+        dealt = stratified_folds(samples, d, stratum, self.n_splits, self.fold_seed).select(d, "fold")
         return dealt.unionByName(rest.select(d, F.lit(HOLDOUT).alias("fold"))) if self.test_size else dealt
 
     def train(self, fold: int) -> Column:
@@ -202,7 +213,8 @@ class SampledDomainKFold(Validator):
         if self.test_size:
             marked = holdout(target, d, self.label_coord, self.test_size, self.random_state)
             held, target = marked.where("held").select(d, F.lit(HOLDOUT).alias("fold")), marked.where("not held").drop("held")
-        dealt = stratified_folds(target, d, self.label_coord, self.n_splits, self.random_state).select(d, "fold")
+        self._guard(target, self.label_coord, self.n_splits)
+        dealt = stratified_folds(target, d, self.label_coord, self.n_splits, self.fold_seed).select(d, "fold")
         source = samples.where(F.col(self.domain_coord).isin(self.source_domains)).select(d, F.lit(-2).alias("fold"))
         out = dealt.unionByName(source)
         return out.unionByName(held) if self.test_size else out
@@ -276,8 +288,8 @@ class CrossValidator:
         ready = LabeledFrame(cells.persist(StorageLevel.MEMORY_AND_DISK), ready.dims, {**ready.coords, "fold": d}, ready.attrs, ready.history)
         self._with_classes(suffix, ready)
         self.ready, self.suffix = ready, suffix
-        parts = []
-        for fold in v.fold_list(folds):
+        parts, splits = [], v.fold_list(folds)
+        for fold in splits:
             fitted = suffix.clone()
             self._with_same_classes(fitted, suffix)
             fitted.fit(self._train(ready, fold))
@@ -285,13 +297,16 @@ class CrossValidator:
         shared = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
         out = v.scored(reduce(DataFrame.unionByName, [p.select(*shared) for p in parts]).persist(StorageLevel.MEMORY_AND_DISK))
         name = self.scoring or (("f1_weighted" if isinstance(truth, str) else "f1_samples") if predictor.is_classifier else "r2")
-        if callable(name) or not isinstance(truth, str) and predictor.is_classifier:
+        if callable(name) or name in scores._PRECISION or not isinstance(truth, str) and predictor.is_classifier:
             name = scores.scorer(name)
-            by_fold = {f: float(name(out.where(F.col("fold") == f), truth)) for f in v.fold_list(folds)}
+            counts = {r["fold"] for r in out.select("fold").distinct().collect()}
+            by_fold = {f: float(name(out.where(F.col("fold") == f), truth)) for f in splits if f in counts}
         else:
-            by_fold = {r["fold"]: float(r["score"]) for r in scores.score_table(name, out, truth, ["fold"]).collect()}
-        if not by_fold:
-            raise ValueError("no prediction is left to score")
+            by_fold = {r["fold"]: float("nan") if r["score"] is None else float(r["score"]) for r in scores.score_table(name, out, truth, ["fold"]).collect()}
+        for p in (folds, ready.cells):
+            p.unpersist()
+        if lacking := sorted(set(splits) - set(by_fold)):
+            raise ValueError(f"no prediction is left to score in folds {lacking}")
         mean, w = sum(by_fold.values()) / len(by_fold), v.pooled_score_weight
         pooled = scores.scorer(name)(out, truth) if w else None
         self.result = CVResult(out, by_fold, pooled, (1 - w) * mean + w * pooled if w else mean, name, truth, folds)
