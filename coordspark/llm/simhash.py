@@ -181,7 +181,7 @@ def print_hex(fp: Column) -> Column:
 # Sketches of the SKETCH smallest hashes decide for texts they hold whole, and for others only where the estimate
 # is MARGIN, six standard errors, or more away from the similarity asked for; all else is for the full sets.
 VIEWS, VIEW_FEATURES, SKETCH = 16, 64, 256
-PAIRED, BLOCK, MARGIN = 64, 256, 0.15
+PAIRED, BLOCK, BLOCK_HASHES, MARGIN = 64, 256, 1 << 18, 0.15
 #: Sketches and sets, of which there are as many as texts in pairs, are broadcast only below this many bytes.
 WIDE_BYTES = 1 << 20
 
@@ -253,9 +253,9 @@ def _merges(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> lis
 def _full_sets(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """A written table ``(version, values)`` of the texts ``asked(version)``: their distinct shingle hashes, ascending."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<long>")
     def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts], dtype="object")
+        return pd.Series([np.unique(shingle_hashes(t, words).view(np.int64)) for t in texts], dtype="object")
 
     texts = docs.select(F.xxhash64(text_of()).alias("version"), text_of().alias("text"))
     known = texts.join(small(written(asked, "asked"), 16), "version", "left_semi").dropDuplicates(["version"])
@@ -263,19 +263,21 @@ def _full_sets(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
 
 def _block_links(large: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of ``large(view, vp, version, root)`` links ``(u, v)`` that connect what similar pairs of a bucket connect.
+    """Of ``large(view, vp, version, root, size)`` links ``(u, v)`` that connect what similar pairs of a bucket connect.
 
-    Blocks are dealt by hash, those of the bucket's largest component apart from the others, so that blocks of one
-    component alone, most of them in a crowd of copies, are never held against each other.
+    Blocks are dealt by hash, of about ``BLOCK`` texts and ``BLOCK_HASHES`` shingles at most, those of the bucket's
+    largest component apart from the others, so that blocks of one component alone, most of them in a crowd of
+    copies, are never held against each other.
     """
     bucket = ["view", "vp"]
-    of_root = written(large.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n")), "roots-of-bucket")
+    weight = F.greatest(F.lit(1.0 / BLOCK), F.col("size") / BLOCK_HASHES)  # of a block, a text
+    of_root = written(large.groupBy(*bucket, "root").agg(F.sum(weight).alias("n")), "roots-of-bucket")
     main = of_root.groupBy(*bucket).agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
     main = written(main.select(*bucket, F.col("main.root").alias("main"), F.col("main.n").alias("of_main"), "all"), "main")
     known = matched(large, main, bucket, 64)
     is_main = F.col("root") == F.col("main")
     n = F.when(is_main, F.col("of_main")).otherwise(F.col("all") - F.col("of_main"))
-    dealt = F.pmod(F.xxhash64("version"), F.ceil(n / BLOCK)) * 2 + F.when(is_main, 0).otherwise(1)
+    dealt = F.pmod(F.xxhash64("version"), F.greatest(F.ceil(n), F.lit(1))) * 2 + F.when(is_main, 0).otherwise(1)
     blocks = written(known.select(*bucket, "version", "root", dealt.cast("long").alias("block")), "blocks")
 
     of_block = written(blocks.groupBy(*bucket, "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "of-block")
@@ -289,7 +291,7 @@ def _block_links(large: DataFrame, docs: DataFrame, words: int, similarity: floa
 
     def link(g: pd.DataFrame) -> pd.DataFrame:
         version = g["version"].to_numpy()
-        found = _merges([np.frombuffer(x, "<u8") for x in g["values"]], g["root"].to_numpy(), similarity)
+        found = _merges(list(g["values"]), g["root"].to_numpy(), similarity)
         return pd.DataFrame([(version[i], version[j]) for i, j in found], columns=["u", "v"], dtype="int64")
 
     full = sides.join(blocks, [*bucket, "block"]).join(sets, "version")
@@ -329,7 +331,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
         full, sets = unsure, _full_sets(unsure.select(F.explode(F.array("u", "v")).alias("version")).distinct(), docs, words)
         for x, values in zip("uv", "ab", strict=True):
             side = sets.select(F.col("version").alias(x), F.col("values").alias(values))
-            full = matched(full, side, [x], F.octet_length(values) + 32, counted=unsure, limit=WIDE_BYTES)
+            full = matched(full, side, [x], F.size(values) * 8 + 32, counted=unsure, limit=WIDE_BYTES)
         return sure.unionAll(full.where(_full_share("a", "b") >= similarity).select("u", "v"))
 
     prints = connected(links(texts.select("fp").distinct(), max_bits))
@@ -359,7 +361,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
     other = (F.col("version_a") < F.col("version_b")) & (F.col("root_a") != F.col("root_b"))
     pairs = a.join(b, bucket).where(other & sized("size_a", "size_b"))
     rest = similar(pairs.select(F.col("version_a").alias("version"), F.col("version_b").alias("other")))
-    large = written(apart.where(F.col("n") > PAIRED).select(*bucket, "version", "root"), "large")
+    large = written(apart.where(F.col("n") > PAIRED).select(*bucket, "version", "root", "size"), "large")
     if not large.isEmpty():
         rest = rest.unionAll(_block_links(large, docs, words, similarity))
     linked = stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(rest)
@@ -378,16 +380,8 @@ def _sketch_share(a: str, b: str) -> Column:
 
 def _full_share(a: str, b: str) -> Column:
     """The Jaccard similarity of two full shingle sets; the sets are not empty."""
-
-    def of(x: bytes, y: bytes) -> float:
-        both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-        return both / (len(x) // 8 + len(y) // 8 - both)
-
-    @F.pandas_udf("double")
-    def share(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return share(a, b)
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
 
 
 def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
