@@ -155,10 +155,25 @@ class Shared:
         return cloudpickle.loads(self._sent.value)
 
 
-def give_back() -> None:
-    """Returns freed memory of this worker process to the system, where the libraries can."""
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send Python at most this many rows at a time; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back(keep: bool = False) -> None:
+    """Returns freed memory of this worker process to the system, where the libraries can, and without ``keep`` what
+    the worker kept for other operators."""
     import pyarrow
 
+    if not keep:
+        sys.__dict__.get("_coordspark_kept", {}).clear()
     pyarrow.default_memory_pool().release_unused()
     try:
         trim = ctypes.CDLL(None).malloc_trim

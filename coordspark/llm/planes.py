@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import give_back, new_path, per_worker, text_of
+from coordspark.llm.common import arrow_rows, give_back, new_path, per_worker, text_of
 
 BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 20
 SHARD_SCHEMA = (
@@ -42,7 +42,7 @@ class WordCache(dict):
     give white space no ids.
     """
 
-    def __init__(self, path: str, limit: int = 60_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.limit, self.tokenizer, self.words = limit, Tokenizer.from_file(path), {}
@@ -123,11 +123,12 @@ def unpack_shard(index: list[dict], payload: bytes, plane: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, plane: str = "byte", path: str | None = None, block: int = BLOCK_IDS, shard_ids: int = SHARD_IDS, level: int = 3) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, plane: str = "byte", path: str | None = None, block: int = BLOCK_IDS, shard_ids: int = SHARD_IDS, level: int = 3, cached: int = 250_000) -> str:
     """Encode ``docs(doc_id, text)`` in ascending doc_id order, each with ``end_id`` after it; gives the path.
 
     ``tokenizer`` is a file of the tokenizers library that every executor has. A null doc_id comes first;
-    rows of one doc_id are ordered by a hash of their text. A null or empty text gives ``end_id`` alone.
+    rows of one doc_id are ordered by a hash of their text. A null or empty text gives ``end_id`` alone. A worker
+    keeps the ids of up to ``cached`` words.
     """
     from pyspark import TaskContext
 
@@ -137,7 +138,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, plane: str = "byt
     path = path or new_path(spark, "token-ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = per_worker(("tokenizer", tokenizer), lambda: WordCache(tokenizer))
+        cache = per_worker(("tokenizer", tokenizer, cached), lambda: WordCache(tokenizer, cached))
         task, shard, before = TaskContext.get().partitionId(), 0, 0
         held, listed, n = [], [], 0
         schema = pa.schema([("task", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("plane", pa.string()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))), ("index", pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int32()), ("offset", pa.int64()), ("lengths", pa.list_(pa.int32()))]))), ("payload", pa.binary())])
@@ -158,11 +159,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, plane: str = "byt
         if listed:
             yield close()
             held.clear()
-        give_back()
+        give_back(keep=True)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    ordered.select("doc_id", "text").mapInArrow(pack, SHARD_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "uncompressed").parquet(path)
+    packed = ordered.select("doc_id", "text").mapInArrow(pack, SHARD_SCHEMA)
+    with arrow_rows(spark, 1000):
+        packed.write.option("parquet.block.size", 16 << 20).option("compression", "uncompressed").parquet(path)
     return path
 
 
