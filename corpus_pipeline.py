@@ -14,6 +14,8 @@ MIN_CERTAINTY = 0.5
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: The rarest source may be read this often for each time that the most frequent one is; none goes unread.
 MAX_REPEATS = 1.25
+#: Words whose ids a worker keeps; fewer than alone, since executors have other stages behind them.
+CACHED_WORDS = 80_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the mixture as bit-plane shuffled token ids and lists its documents from the files."""
-    return planes.read_tokens(spark, planes.write_tokens(docs, tokenizer_path(), END_ID))
+    return planes.read_tokens(spark, planes.write_tokens(docs, tokenizer_path(), END_ID, cached=CACHED_WORDS))
 
 
 STAGES = [
