@@ -123,7 +123,7 @@ def unpack_shard(index: list[dict], payload: bytes, plane: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, plane: str = "byte", path: str | None = None, block: int = BLOCK_IDS, shard_ids: int = SHARD_IDS, level: int = 3, cached: int = 250_000) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, plane: str = "byte", path: str | None = None, block: int = BLOCK_IDS, shard_ids: int = SHARD_IDS, level: int = 3, cached: int = 600_000) -> str:
     """Encode ``docs(doc_id, text)`` in ascending doc_id order, each with ``end_id`` after it; gives the path.
 
     ``tokenizer`` is a file of the tokenizers library that every executor has. A null doc_id comes first;
