@@ -307,6 +307,16 @@ def kfold_assign(spark, d):
     return cv.KFold(5, stratify_coord="label").folds(tables.vectors(spark, d))
 
 
+NULLED = "s as (select vec_id as trial, case when vec_id % 5 = 0 then null else label end as label from embeddings), off as (select label, count(*) as n from s group by 1), offs as (select label, sum(n) over (order by label nulls first) - n as off from off)"
+
+
+@query(f"with {NULLED} select trial, ((row_number() over (partition by s.label order by md5('0:' || trial), trial) - 1 + off) % 5)::int as fold from s join offs on s.label is not distinct from offs.label")
+def kfold_null_label(spark, d):
+    frame = tables.vectors(spark, d)
+    nulled = frame.cells.withColumn("label", F.when(F.col("trial") % 5 != 0, F.col("label")))
+    return cv.KFold(5, stratify_coord="label").folds(LabeledFrame(nulled, frame.dims, frame.coords))
+
+
 @query(f"with {S2}, h as (select *, row_number() over (partition by label order by md5('0:' || trial), trial) <= round(count(*) over (partition by label) * 0.2) as held from s), {_folds_sql('select * from h where not held', 'label')} select trial, fold from fold union all select trial, -1 from h where held")
 def holdout_assign(spark, d):
     return cv.KFold(5, stratify_coord="label", test_size=0.2).folds(tables.vectors(spark, d))
@@ -472,6 +482,15 @@ def scoring_filter_events(spark, d):
     return cv.KFold(exclude_intertrial=True, exclude_time_offset=True).scored(e).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select coalesce(event_type, '-') as event_type, count(*) as n from (select case when event_type = 'click' then null when event_type = 'view' then 'intertrial' else event_type end as event_type, case when user_id % 7 = 1 then null else user_id % 7 end as t from events) where event_type is distinct from 'intertrial' and (t = 0 or t is null) group by 1")
+def scoring_filter_null(spark, d):
+    e = tables.read_table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", None).when(F.col("event_type") == "view", "intertrial").otherwise(F.col("event_type"))
+    offset = F.when(F.col("user_id") % 7 != 1, F.col("user_id") % 7)
+    scored = cv.KFold(exclude_intertrial=True, exclude_time_offset=True).scored(e.select(kind.alias("event_type"), offset.alias("time_offset_ms")))
+    return scored.groupBy(F.coalesce("event_type", F.lit("-")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"with {E2}, {FOLDS}, x as (select e2.trial, value as x, e2.label::double as y, fold from e2 join fold f on e2.trial = f.trial where feature = 0), b as (select k.fold, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 1) as b, avg(x) as mx, avg(y) as my from x join (select distinct fold from x) k on x.fold <> k.fold group by 1) select trial, x.fold, round(my + b * (x - mx), 6) + 0.0 as prediction from x join b on x.fold = b.fold")
 def ridge_single_feature_cv(spark, d):
     frame = tables.vectors(spark, d).where(F.col("feature") == 0)
@@ -565,6 +584,14 @@ def zca_white(spark, d):
     return cells(linear.GlobalZCA(pca_frac_to_keep=1.0).fit_transform(tables.cube(spark, d)))
 
 
+@query(f"with {E3} select channel, (select count(distinct (trial, time)) from e3 where not (trial % 5 = 0 and time = 0)) as n, count(*) as cells from e3 group by 1")
+def zca_missing(spark, d):
+    """Channels keep their labels; a sample that lacks a cell is null in all of them."""
+    lacking = (F.col("trial") % 5 == 0) & (F.col("channel") == 0) & (F.col("time") == 0)
+    out = linear.GlobalZCA(pca_frac_to_keep=1.0).fit_transform(tables.cube(spark, d).where(~lacking)).cells
+    return out.groupBy("channel").agg(F.count(VALUE).alias("n"), F.count(F.lit(1)).alias("cells"))
+
+
 @query()
 def coloring(spark, d):
     return cells(linear.GlobalColoring(n_components=3).fit_transform(tables.cube(spark, d)))
